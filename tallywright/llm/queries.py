@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import table
+from tallywright.llm.packing import pack_documents
 from tallywright.llm.sharding import assign_shards
+from tallywright.llm.tokenbin import read_token_files, write_token_files
+from tallywright.llm.tokens import vocabulary
 
 
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +25,19 @@ def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back: place, length and checksum of each document."""
+    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
 def queries() -> dict:
     """All queries of this subpackage."""
-    return {"op7_ring_shards": op7_ring_shards}
+    return {"op7_ring_shards": op7_ring_shards, "op8_best_fit": op8_best_fit, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict:
