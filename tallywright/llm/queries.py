@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import table
+from tallywright.llm.decontaminate import decontaminate
 from tallywright.llm.packing import pack_documents
 from tallywright.llm.sharding import assign_shards
 from tallywright.llm.tokenbin import read_token_files, write_token_files
 from tallywright.llm.tokens import vocabulary
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each document by the windows of 13 words of benchmark items."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_hash")
+
+
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards whose row counts differ by one at most."""
     return assign_shards(table(spark, sf_dir, "documents")).select(
@@ -37,7 +43,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """All queries of this subpackage."""
-    return {"op7_ring_shards": op7_ring_shards, "op8_best_fit": op8_best_fit, "op10_token_files": op10_token_files}
+    return {"op2_winnowing": op2_winnowing, "op7_ring_shards": op7_ring_shards, "op8_best_fit": op8_best_fit, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict:
