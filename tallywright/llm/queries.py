@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import table
 from tallywright.llm.decontaminate import decontaminate
+from tallywright.llm.minhash import near_duplicates
 from tallywright.llm.packing import pack_documents
 from tallywright.llm.sharding import assign_shards
 from tallywright.llm.tokenbin import read_token_files, write_token_files
@@ -18,6 +19,11 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_hash")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a similarity of 0.85 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("row_hash")
+
+
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards whose row counts differ by one at most."""
     return assign_shards(table(spark, sf_dir, "documents")).select(
@@ -43,7 +49,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """All queries of this subpackage."""
-    return {"op2_winnowing": op2_winnowing, "op7_ring_shards": op7_ring_shards, "op8_best_fit": op8_best_fit, "op10_token_files": op10_token_files}
+    return {"op2_winnowing": op2_winnowing, "op3_minhash": op3_minhash, "op7_ring_shards": op7_ring_shards, "op8_best_fit": op8_best_fit, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict:
