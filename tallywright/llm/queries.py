@@ -9,6 +9,8 @@ from tallywright.llm.common import table
 from tallywright.llm.decontaminate import decontaminate
 from tallywright.llm.minhash import near_duplicates
 from tallywright.llm.packing import pack_documents
+from tallywright.llm.quality import score_quality
+from tallywright.llm.secrets import scan_secrets
 from tallywright.llm.sharding import assign_shards
 from tallywright.llm.tokenbin import read_token_files, write_token_files
 from tallywright.llm.tokens import vocabulary
@@ -24,6 +26,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("row_hash")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the fixed patterns, and strings of few characters per token."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_secrets(docs, vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards whose row counts differ by one at most."""
     return assign_shards(table(spark, sf_dir, "documents")).select(
@@ -42,6 +50,11 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_hash")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back: place, length and checksum of each document."""
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
@@ -49,7 +62,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """All queries of this subpackage."""
-    return {"op2_winnowing": op2_winnowing, "op3_minhash": op3_minhash, "op7_ring_shards": op7_ring_shards, "op8_best_fit": op8_best_fit, "op10_token_files": op10_token_files}
+    return {
+        "op2_winnowing": op2_winnowing,
+        "op3_minhash": op3_minhash,
+        "op6_secrets": op6_secrets,
+        "op7_ring_shards": op7_ring_shards,
+        "op8_best_fit": op8_best_fit,
+        "op9_quality": op9_quality,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict:
