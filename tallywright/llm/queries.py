@@ -12,8 +12,16 @@ from tallywright.llm.packing import pack_documents
 from tallywright.llm.quality import score_quality
 from tallywright.llm.secrets import scan_secrets
 from tallywright.llm.sharding import assign_shards
+from tallywright.llm.spotsigs import fingerprint_edits
 from tallywright.llm.tokenbin import read_token_files, write_token_files
 from tallywright.llm.tokens import vocabulary
+from tallywright.llm.warc import read_archives, write_archives
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records with revisits, read back from the archives."""
+    archives = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +34,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("row_hash")
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and their likeness."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: the fixed patterns, and strings of few characters per token."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,8 +76,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     """All queries of this subpackage."""
     return {
+        "op1_warc": op1_warc,
         "op2_winnowing": op2_winnowing,
         "op3_minhash": op3_minhash,
+        "op4_spotsigs": op4_spotsigs,
         "op6_secrets": op6_secrets,
         "op7_ring_shards": op7_ring_shards,
         "op8_best_fit": op8_best_fit,

@@ -184,7 +184,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("before"))
     return (
-        files.join(sums, "part")
+        files.join(F.broadcast(sums), "part")  # a row for each of the writer's partitions
         .select("docs", (F.col("before") + F.col("part_start")).alias("start"), "payload")
         .mapInArrow(_read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )

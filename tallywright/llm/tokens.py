@@ -10,16 +10,27 @@ split differently are encoded whole.
 from __future__ import annotations
 
 import os
-import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept per worker; beyond that the cache starts anew.
 CACHE_PIECES = 600_000
-#: White space that is not one space or line feed between two words.
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+#: Python's white space besides the space and the line feed.
+_OTHER_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_OTHER_ASCII = [c for c in _OTHER_WHITE if c.isascii()]
 #: Python takes these for white space, Unicode does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def _regular(text: str) -> bool:
+    """All white space is one space or line feed between two words."""
+    return not (
+        text[0].isspace()
+        or text[-1].isspace()
+        or any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
+        or any(c in text for c in (_OTHER_ASCII if text.isascii() else _OTHER_WHITE))
+    )
+
 
 _encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
@@ -34,6 +45,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_space = keeps_space
         self.cache: dict[str, bytes] = {}
+        self.separator: int | None = None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -43,33 +55,40 @@ class WordEncoder:
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces whose ids add up to the text's, or None."""
         if not self.keeps_space:
-            return None if _SEPARATORS.search(text) else text.split()
-        if _IRREGULAR.search(text):
+            return None if any(c in text for c in _SEPARATORS) else text.split()
+        if not _regular(text):
             return None
         # a piece is a word with the one space or line feed before it
         first, *rest = text.replace("\n", " \n").split(" ")
         return [first, *(p if p[:1] == "\n" else " " + p for p in rest)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, from one text in which a separator's id stands between them."""
+        import numpy as np
+
+        between, mark = ("\t", "\t") if self.keeps_space else (" \x01 ", "\x01")
+        if self.separator is None:
+            (self.separator,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        (joined,) = self.tokenizer.encode_batch_fast([between.join(pieces)], add_special_tokens=False)
+        ids = np.asarray(joined.ids, "<u4")
+        cuts = (4 * np.flatnonzero(ids == self.separator)).tolist()
+        if len(cuts) != len(pieces) - 1:  # a piece holds the separator itself
+            return self._whole(pieces)
+        data = ids.tobytes()
+        return [data[start:end] for start, end in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; an empty text has none."""
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            pieces = self._pieces(text)
-            if pieces is None:
-                out.append(self._whole([text])[0])
-                continue
-            cache = self.cache
-            missing = [p for p in set(pieces) if p not in cache]
-            if missing:
-                if len(cache) + len(missing) > CACHE_PIECES:
-                    cache.clear()
-                    missing = list(set(pieces))
-                cache.update(zip(missing, self._whole(missing), strict=True))
-            out.append(b"".join(map(cache.__getitem__, pieces)))
-        return out
+        cut = [self._pieces(text) if text else [] for text in texts]
+        wanted = set().union(*(c for c in cut if c))
+        cache = self.cache
+        if len(cache) + len(wanted) > CACHE_PIECES:
+            cache.clear()
+        missing = [p for p in wanted if p not in cache]
+        if missing:
+            cache.update(zip(missing, self._encode_pieces(missing), strict=True))
+        find = cache.__getitem__
+        return [self._whole([text])[0] if pieces is None else b"".join(map(find, pieces)) for text, pieces in zip(texts, cut, strict=True)]
 
 
 def encoder(path: str, keeps_space: bool) -> WordEncoder:
