@@ -3,7 +3,7 @@
 A document's set is hashed once; the hash's low bits choose one of 128 bins and the
 smallest hash of each bin is kept. Empty bins borrow from a full one by optimal
 densification: bin i tries bins f(i, 1), f(i, 2), ... and takes the first full one.
-Bands of 8 bins make bucket keys. Each bucket gives a star of candidate edges, from
+Bands of bins make bucket keys. Each bucket gives a star of candidate edges, from
 its smallest id to each other member, so that a bucket of n members has n - 1 edges.
 Candidates are confirmed on full sets.
 
@@ -27,8 +27,10 @@ from tallywright.llm.components import connected_components
 
 WHITE = r"[\x20\x09-\x0D]+"
 BINS = 128
-BAND = 8
+#: Orders of the bins that bands are cut from.
 PERMUTATIONS = 2
+#: Chance, at most, that a pair at the threshold shares no bucket.
+MISS = 1e-4
 ATTEMPTS = 4096
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -46,13 +48,25 @@ def with_shingles(docs: DataFrame, width: int) -> DataFrame:
     return hashed.select("doc_id", F.array_distinct(F.transform(starts, run)).alias("shingles"))
 
 
+def band_size(similarity: float) -> int:
+    """The most bins a band can have so that pairs at the threshold are missed with a chance of MISS at most."""
+    for size in range(12, 1, -1):
+        if (1 - similarity**size) ** (BINS // size * PERMUTATIONS) <= MISS:
+            return size
+    return 1
+
+
+@cache
+def _tries() -> np.ndarray:
+    """Bins that an empty bin tries, by attempt; fixed by a seed."""
+    return np.random.default_rng(20240229).integers(0, BINS, (ATTEMPTS, BINS))
+
+
 @cache
-def _plan() -> tuple[np.ndarray, np.ndarray]:
-    """Bins that an empty bin tries, and the bins of each band; fixed by a seed."""
-    rng = np.random.default_rng(20240229)
-    tries = rng.integers(0, BINS, (ATTEMPTS, BINS))
-    bands = np.concatenate([rng.permutation(BINS).reshape(-1, BAND) for _ in range(PERMUTATIONS)])
-    return tries, bands
+def _bands(size: int) -> np.ndarray:
+    """The bins of each band; fixed by a seed."""
+    rng = np.random.default_rng(size)
+    return np.concatenate([rng.permutation(BINS)[: BINS // size * size].reshape(-1, size) for _ in range(PERMUTATIONS)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +84,7 @@ def sketch(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = out.reshape(-1, BINS)
     full = out != _EMPTY
     rows, cols = np.nonzero(~full & full.any(axis=1, keepdims=True))
-    tries, _ = _plan()
+    tries = _tries()
     for attempt in range(ATTEMPTS):
         if not len(rows):
             break
@@ -84,9 +98,9 @@ def sketch(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
+def band_keys(minima: np.ndarray, size: int) -> np.ndarray:
     """(documents, bands) bucket keys."""
-    _, bands = _plan()
+    bands = _bands(size)
     keys = np.empty((len(minima), len(bands)), np.uint64)
     for number, bins in enumerate(bands):
         key = np.full(len(minima), np.uint64(number + 1))
@@ -96,29 +110,32 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = part.column("shingles")
-                lengths = np.asarray(sets.value_lengths().fill_null(0))
-                flat = np.asarray(sets.flatten(), np.int64)
-                mixed = _mix(flat.view(np.uint64))
-                ends = np.concatenate(([0], np.cumsum(lengths)))
-                sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed)))  # equal sets: equal sums of hashes
-                keys = band_keys(sketch(flat, lengths))
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("row_hash"),
-                        pa.array(lengths.astype(np.int64)),
-                        pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)),
-                        listed,
-                    ],
-                    ["doc_id", "row_hash", "n_shingles", "node", "bands"],
-                )
+def _sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    sets = part.column("shingles")
+                    lengths = np.asarray(sets.value_lengths().fill_null(0))
+                    flat = np.asarray(sets.flatten(), np.int64)
+                    mixed = _mix(flat.view(np.uint64))
+                    ends = np.concatenate(([0], np.cumsum(lengths)))
+                    sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed)))  # equal sets: equal sums of hashes
+                    keys = band_keys(sketch(flat, lengths), size)
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("doc_id"),
+                            part.column("row_hash"),
+                            pa.array(lengths.astype(np.int64)),
+                            pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)),
+                            listed,
+                        ],
+                        ["doc_id", "row_hash", "n_shingles", "node", "bands"],
+                    )
+
+    return run
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, carriers: DataFrame, width: int, percent: int) -> DataFrame:
@@ -155,7 +172,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shingled = with_shingles(base.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("row_hash"))), width)
     rows = materialize(
         shingled.select("doc_id.doc_id", "doc_id.row_hash", "shingles").mapInArrow(
-            _sketches, "doc_id long, row_hash long, n_shingles long, node long, bands array<long>"
+            _sketches(band_size(percent / 100)), "doc_id long, row_hash long, n_shingles long, node long, bands array<long>"
         ),
         "sketches",
     )

@@ -199,3 +199,24 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     model = train(features, labels)
     scored = features.mapInArrow(_scored(model, threshold), "doc_id long, row_hash long, score double, predicted int")
     return scored.select("doc_id", "row_hash", held_out().alias("held_out"), "score", "predicted")
+
+
+def _kept(model: Discriminant | None, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if model and batch.num_rows:
+                x = np.array([statistics(text or "") for text in batch.column("text").to_pylist()])
+                batch = batch.filter(pa.array(model.score(x) >= threshold))
+            yield batch
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold.
+
+    Rows keep their place: texts are scored where they are read and never shuffled.
+    Without training rows of both labels every row stays.
+    """
+    model = train(vectors(docs), labels)
+    return docs.mapInArrow(_kept(model, threshold), docs.schema)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallywright.llm.common import table
 from tallywright.llm.decontaminate import decontaminate
+from tallywright.llm.html_crf import extract_main_text
 from tallywright.llm.minhash import near_duplicates
 from tallywright.llm.packing import pack_documents
 from tallywright.llm.quality import score_quality
@@ -39,6 +41,11 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_crf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: the fixed patterns, and strings of few characters per token."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,11 +87,13 @@ def queries() -> dict:
         "op2_winnowing": op2_winnowing,
         "op3_minhash": op3_minhash,
         "op4_spotsigs": op4_spotsigs,
+        "op5_crf_text": op5_crf_text,
         "op6_secrets": op6_secrets,
         "op7_ring_shards": op7_ring_shards,
         "op8_best_fit": op8_best_fit,
         "op9_quality": op9_quality,
         "op10_token_files": op10_token_files,
+        "pipeline": corpus_pipeline.run,
     }
 
 
