@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = []
+MODULES = ["evaluation"]
 
 
 def _modules():
@@ -13,20 +13,14 @@ def _modules():
 
 def queries() -> dict:
     """All registered queries by name."""
-    found: dict = {}
-    for module in _modules():
-        found.update(module.QUERIES)
-    return found
+    return {name: run for module in _modules() for name, run in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
     """All registered oracle statements by name."""
-    found: dict = {}
-    for module in _modules():
-        found.update(module.ORACLES)
-    return found
+    return {name: sql for module in _modules() for name, sql in module.ORACLES.items()}
 
 
 def FLAGSHIP(spark, sf_dir):
-    """The first registered query."""
-    return next(iter(queries().values()))(spark, sf_dir)
+    """Pool statistics, reliability and interval of every query's benchmark price."""
+    return queries()["flagship_benchmark"](spark, sf_dir)
