@@ -138,25 +138,89 @@ def _sketches(size: int):
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, carriers: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of nodes whose full sets are similar enough.
+def _full_sets(nodes: DataFrame, docs: DataFrame, carriers: DataFrame, width: int) -> DataFrame:
+    """node, shingles of each of ``nodes``, from one document with that set.
 
-    carriers: node, doc_id, row_hash of one document with each node's set.
+    carriers: node, doc_id, row_hash of that document.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(carriers, "node")
+    wanted = nodes.join(carriers, "node").alias("w")
     texts = docs.withColumn("row_hash", F.xxhash64("text")).alias("d")
-    found = texts.join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.row_hash") == F.col("w.row_hash")))
-    sets = materialize(with_shingles(found.select(F.col("node").alias("doc_id"), "d.text"), width), "sets")
+    found = texts.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.row_hash") == F.col("w.row_hash")))
+    shingled = with_shingles(found.select(F.col("node").alias("doc_id"), "d.text"), width)
+    return materialize(shingled.withColumnRenamed("doc_id", "node"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose full sets are similar enough."""
     both = F.size(F.array_intersect("x.shingles", "y.shingles"))
     return (
-        pairs.join(sets.alias("x"), F.col("a") == F.col("x.doc_id"))
-        .join(sets.alias("y"), F.col("b") == F.col("y.doc_id"))
+        pairs.join(sets.alias("x"), F.col("a") == F.col("x.node"))
+        .join(sets.alias("y"), F.col("b") == F.col("y.node"))
         .where(both * 100 >= (F.size("x.shingles") + F.size("y.shingles") - both) * percent)
         .select("a", "b")
         .distinct()
     )
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """node, own: shingles that no other of these sets has."""
+    single = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    counted = single.groupBy("node").agg(F.count("*").alias("own"))
+    return sets.select("node").join(counted, "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _missed_links(members: DataFrame, links: DataFrame, found: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) with the links between members of one bucket that the first stars left apart.
+
+    A second star runs from the member with the fewest shingles of its own, the one
+    nearest to all others, and measures how each member differs from it. Two sets
+    differ from each other by at least d(x) + d(y) - 2 * shared, where d counts the
+    differences from the centre and shared, those that both have, leaves out the
+    shingles that one of them has alone. Members that are still apart are compared
+    where that leaves the similarity possible, so no link is lost.
+    """
+
+    def apart(found: DataFrame) -> DataFrame:
+        joined = members.select("key", "node", "n_shingles").join(found.withColumnRenamed("id", "node"), "node", "left")
+        labelled = joined.select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+        keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        return labelled.join(keys, "key", "left_semi")
+
+    rest = materialize(apart(found), "apart")
+    sets = sets_of(rest.select("node").distinct())
+    own = materialize(_own_shingles(sets), "own")
+    rest = rest.join(own, "node")
+    centres = materialize(rest.groupBy("key").agg(F.min(F.struct("own", "node")).alias("c")).select("key", F.col("c.node").alias("centre")), "centres")
+    spokes = rest.join(centres, "key").select("centre", "node").distinct()
+    x, y = sets.alias("x"), sets.alias("y")
+    both = F.size(F.array_intersect("x.shingles", "y.shingles")).cast("long")
+    total = (F.size("x.shingles") + F.size("y.shingles")).cast("long")
+    measured = materialize(
+        spokes.join(x, F.col("centre") == F.col("x.node"))
+        .join(y, spokes["node"] == F.col("y.node"))
+        .select("centre", spokes["node"], (total - 2 * both).alias("d"), (both * 100 >= (total - both) * percent).alias("linked")),
+        "spokes",
+    )
+    more = measured.where(F.col("linked") & (F.col("centre") != F.col("node"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    links = materialize(links.union(more), "links")
+    found = connected_components(links)
+
+    rest = apart(found).join(own, "node").join(centres, "key").join(measured.drop("linked"), ["centre", "node"])
+    # members of one bucket have one centre: by centre each pair comes once for many buckets
+    rest = materialize(rest.select("centre", "node", "n_shingles", "component", "own", "d").distinct(), "apart")
+    x, y = rest.alias("x"), rest.alias("y")
+    shared = F.greatest(F.least(F.col("x.d") - F.col("x.own"), F.col("y.d") - F.col("y.own")), F.lit(0))
+    differ = F.col("x.d") + F.col("y.d") - 2 * shared
+    possible = differ * (100 + percent) <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - percent)
+    pairs = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & possible)
+    pairs = materialize(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    more = materialize(_confirm(pairs, sets, percent), "links")
+    if more.limit(1).count():
+        links = links.union(more)
+        found = connected_components(links)
+    return links, found
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Component of every document under links of Jaccard similarity >= percent / 100.
 
@@ -189,27 +253,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "stars",
     )
     carriers = sets.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("c")).select("node", "c.doc_id", "c.row_hash")
-    links = materialize(_confirm(stars, base, carriers, width, percent), "links")
-    found = connected_components(links)
 
-    # members of one bucket that stars left in different components
-    label = F.coalesce("component", "node").alias("component")
-    labelled = members.select("key", "node", "n_shingles").join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n_shingles", label)
-    apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_members = materialize(labelled.join(apart, "key", "left_semi"), "open")
-    x, y = open_members.alias("x"), open_members.alias("y")
-    missed = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-               & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    missed = materialize(missed, "missed")
-    more = materialize(_confirm(missed, base, carriers, width, percent), "links")
-    if more.limit(1).count():
-        found = connected_components(links.union(more))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return _full_sets(nodes, base, carriers, width)
 
+    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    links = materialize(_confirm(stars, sets_of(ends), percent), "links")
+    links, found = _missed_links(members, links, connected_components(links), sets_of, percent)
+
+    label = F.coalesce("component", "node").alias("component")
     nodes = sets.groupBy("node").agg(F.min("doc_id").alias("first")).join(found.withColumnRenamed("id", "node"), "node", "left").select("node", "first", label)
     named = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = nodes.select("node", "component").join(named, "component").select("node", "component_id")
