@@ -21,7 +21,7 @@ CATALOG = """catalog AS (
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 POOL = """pool AS (
- SELECT *, floor(raw * 10000 + 0.5) / 10000 AS score FROM (
+ SELECT *, floor(raw * 10000 + 0.500001) / 10000 AS score FROM (
  SELECT q.row_key AS q, q.po AS q_po, q.price AS q_price, q.qty AS q_qty, q.code AS q_code, q.uom AS q_uom, q.model AS q_model, q.text AS q_text, q.d AS q_d, q.family AS q_family,
   c.row_key AS c, c.po AS c_po, c.vendor AS c_vendor, c.price AS c_price, c.lp AS c_lp, c.qty AS c_qty, c.code AS c_code, c.uom AS c_uom, c.model AS c_model, c.text AS c_text, c.d AS c_d,
   row_number() OVER (PARTITION BY q.row_key ORDER BY c.d DESC, c.row_key DESC) AS pool_rank, date_diff('day', c.d, q.d) AS days,
@@ -71,7 +71,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(
         F.col("q_row_key").alias("q"), "q_po", "q_price", "q_qty", "q_code", "q_uom", "q_model", "q_text", "q_d", "q_family",
         F.col("c_row_key").alias("c"), "c_po", "c_vendor", "c_price", "c_lp", "c_qty", "c_code", "c_uom", "c_model", "c_text", "c_d",
-        "pool_rank", days.alias("days"), (F.floor(raw * 10000 + 0.5) / 10000).alias("score"),
+        "pool_rank", days.alias("days"), (F.floor(raw * 10000 + 0.500001) / 10000).alias("score"),
     )
 
 

@@ -8,8 +8,8 @@ R = Registry()
 
 
 def q4(x: str) -> str:
-    """Half-up to four places, the same in every engine."""
-    return f"floor(({x}) * 10000 + 0.5) / 10000"
+    """Half-up to four places; the margin keeps exact halves together in every engine."""
+    return f"floor(({x}) * 10000 + 0.500001) / 10000"
 
 
 HIT10 = "abs(c_price - q_price) <= 0.10 * q_price"
@@ -51,7 +51,7 @@ R.sql("win6_price_percentile", f"""SELECT q, rank, {q4('(row_number() OVER (PART
 R.sql(
     "win7_weighted_median",
     f"""SELECT q, {q4('min(c_price)')} AS price FROM (SELECT q, c_price, sum(w) OVER (PARTITION BY q ORDER BY c_price, rank ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY q) AS total
- FROM (SELECT q, c_price, rank, floor((score * exp(-days / 730.0)) * 1000000 + 0.5) AS w FROM {{top10}}) t) u WHERE run * 2 >= total GROUP BY q""",
+ FROM (SELECT q, c_price, rank, floor((score * exp(-days / 730.0E0)) * 1000000 + 0.5) AS w FROM {{top10}}) t) u WHERE run * 2 >= total GROUP BY q""",
 )
 R.sql(
     "win8_price_support",
@@ -78,7 +78,7 @@ R.sql(
 )
 R.sql(
     "agg14_accuracy",
-    f"""SELECT {q4('avg(CASE WHEN ape <= 0.05 THEN 1.0 ELSE 0.0 END)')} AS acc5, {q4('avg(CASE WHEN ape <= 0.10 THEN 1.0 ELSE 0.0 END)')} AS acc10, {q4('avg(CASE WHEN ape <= 0.20 THEN 1.0 ELSE 0.0 END)')} AS acc20,
+    f"""SELECT {q4('avg(CASE WHEN ape <= 0.05 THEN 1.0E0 ELSE 0.0E0 END)')} AS acc5, {q4('avg(CASE WHEN ape <= 0.10 THEN 1.0E0 ELSE 0.0E0 END)')} AS acc10, {q4('avg(CASE WHEN ape <= 0.20 THEN 1.0E0 ELSE 0.0E0 END)')} AS acc20,
  {q4('avg(abs(c_price - q_price))')} AS mae, {q4('median(ape)')} AS mdape, {q4('avg(ape)')} AS mape FROM (SELECT *, {APE} AS ape FROM {{top10}} WHERE rank = 1) t""",
 )
 R.sql(
@@ -117,7 +117,7 @@ R.sql(
 )
 R.sql(
     "agg28_interval_evaluation",
-    f"""SELECT {q4('100.0 * avg(CASE WHEN q_price >= low AND q_price <= high THEN 1.0 ELSE 0.0 END)')} AS coverage, {q4('avg(high - low)')} AS mean_width, {q4('median(high - low)')} AS median_width, sum(CASE WHEN low <= 0 THEN 1 ELSE 0 END) AS not_positive
+    f"""SELECT {q4('100.0 * avg(CASE WHEN q_price >= low AND q_price <= high THEN 1.0E0 ELSE 0.0E0 END)')} AS coverage, {q4('avg(high - low)')} AS mean_width, {q4('median(high - low)')} AS median_width, sum(CASE WHEN low <= 0 THEN 1 ELSE 0 END) AS not_positive
  FROM (SELECT q_price, greatest(0.01, c_price * exp(-1.5404)) AS low, c_price * exp(1.5404) AS high FROM {{top10}} WHERE rank = 1) t""",
 )
 R.sql(
@@ -137,7 +137,7 @@ R.sql("srt4_argmax_ties", """SELECT q, rank FROM (SELECT q, rank, row_number() O
 R.sql(
     "srt10_gap_override",
     """SELECT q, CASE WHEN alt - s1 > 0.05 THEN alt_rank ELSE 1 END AS chosen FROM (SELECT q, max(CASE WHEN rank = 1 THEN sim END) AS s1, max(CASE WHEN rank > 1 THEN sim END) AS alt, min(CASE WHEN rank > 1 AND sim = m THEN rank END) AS alt_rank
- FROM (SELECT q, rank, sim, max(CASE WHEN rank > 1 THEN sim END) OVER (PARTITION BY q) AS m FROM (SELECT q, rank, floor(least(q_qty, c_qty) / greatest(q_qty, c_qty) * 10000 + 0.5) / 10000 AS sim FROM {top10}) r) s GROUP BY q) t WHERE alt IS NOT NULL""",
+ FROM (SELECT q, rank, sim, max(CASE WHEN rank > 1 THEN sim END) OVER (PARTITION BY q) AS m FROM (SELECT q, rank, floor(least(q_qty, c_qty) / greatest(q_qty, c_qty) * 10000 + 0.500001) / 10000 AS sim FROM {top10}) r) s GROUP BY q) t WHERE alt IS NOT NULL""",
 )
 ATTR = "0.25 * CASE WHEN q_code = c_code THEN 1 ELSE 0 END + 0.65 * CASE WHEN q_model = c_model THEN 1 ELSE 0 END + 0.10 * CASE WHEN q_text = c_text THEN 1 ELSE 0 END"
 R.sql("rrk1_attribute_rerank", f"""SELECT q, c, {q4('attr')} AS attr FROM (SELECT q, c, attr, row_number() OVER (PARTITION BY q ORDER BY attr DESC, rank) AS k FROM (SELECT q, c, rank, {q4(ATTR)} AS attr FROM {{top10}}) t) u WHERE k = 1""")
@@ -151,17 +151,17 @@ R.sql(
 R.sql(
     "rrk4_multi_aspect",
     f"""SELECT q, c, total FROM (SELECT q, c, total, row_number() OVER (PARTITION BY q ORDER BY total DESC, rank) AS k FROM (
- SELECT q, c, rank, {q4('0.40 * score + 0.15 * attr + 0.30 * near + 0.15 * exp(-days / 730.0)')} AS total FROM (SELECT q, c, rank, days, score, {ATTR} AS attr, 1 / (1 + abs(c_price - median(c_price) OVER (PARTITION BY q)) / median(c_price) OVER (PARTITION BY q)) AS near FROM {{top10}}) t) u) v WHERE k = 1""",
+ SELECT q, c, rank, {q4('0.40 * score + 0.15 * attr + 0.30 * near + 0.15 * exp(-days / 730.0E0)')} AS total FROM (SELECT q, c, rank, days, score, {ATTR} AS attr, 1 / (1 + abs(c_price - median(c_price) OVER (PARTITION BY q)) / median(c_price) OVER (PARTITION BY q)) AS near FROM {{top10}}) t) u) v WHERE k = 1""",
 )
 R.sql("gat1_evidence_gate", f"""SELECT q, evidence, CASE WHEN evidence >= 0.7 THEN 'STRONG' WHEN evidence >= 0 THEN 'PASS' WHEN evidence >= -1 THEN 'WEAK' ELSE 'FAIL' END AS gate FROM (SELECT q, {q4('max(CASE WHEN rank = 1 THEN score END) - stddev_pop(c_lp)')} AS evidence FROM {{top10}} GROUP BY q) t""")
 R.sql(
     "cnf1_confidence",
-    f"""SELECT q, {q4('0.30 * CASE WHEN n = 1 THEN 0.5 ELSE exp(-2.5 * spread) END + 0.20 * CASE WHEN next IS NULL THEN 0.8 ELSE tanh((score - next) / 0.5) END + 0.15 * same + 0.10 * exp(-days / 730.0) + 0.10 * least(1.0, n / 5.0)')} AS confidence
- FROM (SELECT q, rank, days, score, lead(score) OVER (PARTITION BY q ORDER BY rank) AS next, count(*) OVER (PARTITION BY q) AS n, stddev_pop(c_lp) OVER (PARTITION BY q) AS spread, CASE WHEN q_model = c_model THEN 1.0 ELSE 0.0 END AS same FROM {{top10}}) t WHERE rank = 1""",
+    f"""SELECT q, {q4('0.30 * CASE WHEN n = 1 THEN 0.5 ELSE exp(-2.5 * spread) END + 0.20 * CASE WHEN next IS NULL THEN 0.8 ELSE tanh((score - next) / 0.5) END + 0.15 * same + 0.10 * exp(-days / 730.0E0) + 0.10 * least(1.0, n / 5.0)')} AS confidence
+ FROM (SELECT q, rank, days, score, lead(score) OVER (PARTITION BY q ORDER BY rank) AS next, count(*) OVER (PARTITION BY q) AS n, stddev_pop(c_lp) OVER (PARTITION BY q) AS spread, CASE WHEN q_model = c_model THEN 1.0E0 ELSE 0.0E0 END AS same FROM {{top10}}) t WHERE rank = 1""",
 )
 R.sql(
     "ovr1_override",
-    """SELECT q, CASE WHEN alt >= 0.55 AND alt - s1 >= 0.08 THEN 'OVERRIDE' ELSE 'KEEP' END AS decision FROM (SELECT q, max(CASE WHEN rank = 1 THEN sim END) AS s1, max(CASE WHEN rank > 1 THEN sim END) AS alt FROM (SELECT q, rank, floor((0.5 * score + 0.5 * least(q_qty, c_qty) / greatest(q_qty, c_qty)) * 10000 + 0.5) / 10000 AS sim FROM {top10}) s GROUP BY q) t WHERE alt IS NOT NULL""",
+    """SELECT q, CASE WHEN alt >= 0.55 AND alt - s1 >= 0.08 THEN 'OVERRIDE' ELSE 'KEEP' END AS decision FROM (SELECT q, max(CASE WHEN rank = 1 THEN sim END) AS s1, max(CASE WHEN rank > 1 THEN sim END) AS alt FROM (SELECT q, rank, floor((0.5 * score + 0.5 * least(q_qty, c_qty) / greatest(q_qty, c_qty)) * 10000 + 0.500001) / 10000 AS sim FROM {top10}) s GROUP BY q) t WHERE alt IS NOT NULL""",
 )
 DIV = """SELECT q, c, place FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN nth <= 2 THEN 0 ELSE 1 END, r) AS place FROM (
  SELECT q, c, r, row_number() OVER (PARTITION BY q, {key} ORDER BY r) AS nth FROM (SELECT q, c, {key}, row_number() OVER (PARTITION BY q ORDER BY score DESC, pool_rank) AS r FROM {{pool}}) t) u) v WHERE place <= 10"""
