@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallywright.functions.text import token_set
+from tallywright.operators.diversity import mmr
 from tallywright.operators.temporal import decayed_stats, latest_prior, ranked_history, shrink
-from tallywright.plans.base import COLUMNS, EVAL_FROM, Registry, catalog, read
+from tallywright.plans.base import COLUMNS, EVAL_FROM, Registry, catalog, pool, read
 
 R = Registry()
 ASKED = F.col("d") >= F.lit(EVAL_FROM).cast("date")
@@ -184,4 +186,62 @@ def chg_embedding_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("k", F.row_number().over(best)).where("k <= 10 and sim >= 0.10").drop("k")
 
 
+def _mmr_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "pool_rank")
+    return pool(spark, sf_dir).select(
+        "q", "c", F.row_number().over(order).alias("r"), "score", F.col("c_model").alias("identity"), F.col("c_po").alias("po"), token_set(F.col("c_text")).alias("tokens")
+    )
+
+
+@R.query("div3_mmr")
+def div3_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten diverse candidates of each query by maximal marginal relevance."""
+    return mmr(_mmr_input(spark, sf_dir))
+
+
+@R.query("div4_selective_mmr")
+def div4_selective_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MMR where the pool has more than ten candidates whose first ten are not all alike; else the first ten."""
+    rows = _mmr_input(spark, sf_dir)
+    stats = rows.groupBy("q").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("r") <= 10, F.col("identity"))).alias("kinds"))
+    diverse = stats.where("n > 10 and kinds > 1").select("q")
+    plain = rows.join(diverse, "q", "left_anti").where("r <= 10").select("q", "c", F.col("r").alias("place"))
+    return mmr(rows.join(diverse, "q", "left_semi")).unionByName(plain)
+
+
+@R.query("ml6_group_folds", "SELECT 5 AS folds, count(DISTINCT family) AS families FROM catalog", "catalog")
+def ml6_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds by family: every family lies in one fold."""
+    folds = catalog(spark, sf_dir).select("family", F.pmod(F.xxhash64("family"), F.lit(5)).alias("fold")).distinct()
+    return folds.agg(F.lit(5).alias("folds"), F.count("*").alias("families"))
+
+
+@R.query("agg25_bootstrap")
+def agg25_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poisson bootstrap of the hit rate: 200 replicates by hash-seeded weights, 95 % interval."""
+    from tallywright.plans.base import top10
+
+    hits = top10(spark, sf_dir).where("rank = 1").select("q", (F.abs(F.col("c_price") - F.col("q_price")) <= 0.1 * F.col("q_price")).cast("int").alias("hit"))
+    u = F.pmod(F.xxhash64("q", "b"), F.lit(1 << 30)) / float(1 << 30)
+    weight = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
+    rates = hits.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(200)))).groupBy("b").agg((F.sum(weight * F.col("hit")) / F.sum(weight)).alias("rate"))
+    return rates.agg(q4(F.avg("rate")).alias("mean"), q4(F.percentile("rate", 0.025)).alias("low"), q4(F.percentile("rate", 0.975)).alias("high"))
+
+
+@R.query("agg11_huber")
+def agg11_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Huber slope of log price on log quantity by family: reweighted least squares from sums, eight rounds."""
+    rows = catalog(spark, sf_dir).where("qty > 0").select("family", F.col("lp").alias("y"), F.log("qty").alias("x"))
+    fit = rows.groupBy("family").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.stddev_pop("y").alias("s"))
+    for _ in range(8):
+        off = F.abs(F.col("y") - F.col("a") - F.col("b") * F.col("x")) / F.greatest(F.col("s"), F.lit(1e-9))
+        w = F.when(off <= 1.35, F.lit(1.0)).otherwise(1.35 / off)
+        sums = rows.join(F.broadcast(fit), "family").withColumn("w", w).groupBy("family").agg(  # a row for each family
+            F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(F.col("w") * F.col("x") ** 2).alias("sxx"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("sxy"), F.first("s").alias("s")
+        )
+        slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") ** 2)
+        fit = sums.withColumn("b", slope).withColumn("a", (F.col("sy") - F.col("b") * F.col("sx")) / F.col("n")).select("family", "a", "b", "s")
+    return fit.select("family", q4(F.greatest(F.lit(-0.6), F.least(F.lit(0.1), F.col("b")))).alias("beta"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles
