@@ -24,8 +24,8 @@ def ring_arcs(spark, shards: int, virtual_nodes: int) -> list[tuple[int, int, in
     """(arc, first position, last position, shard) of each arc in ring order; the
     arc over the ring's origin comes as two rows with one arc number."""
     points = spark.range(shards * virtual_nodes).select(
-        (F.col("id") % shards).cast("int").alias("shard"),
-        F.pmod(F.xxhash64(F.lit("ring"), F.col("id")), F.lit(1 << RING_BITS)).alias("at"),
+        F.expr(f"cast(id div {virtual_nodes} as int)").alias("shard"),
+        F.pmod(F.xxhash64(F.lit("ring"), F.col("id")), F.lit(1 << RING_BITS)).alias("at"),  # the same points whatever the number of shards
     )
     owned = {}
     for shard, at in sorted((r.shard, r.at) for r in points.collect()):
