@@ -10,6 +10,7 @@ from tallywright.llm.common import table
 from tallywright.llm.decontaminate import decontaminate
 from tallywright.llm.html_crf import extract_main_text
 from tallywright.llm.minhash import near_duplicates
+from tallywright.llm.oracles import ORACLES
 from tallywright.llm.packing import pack_documents
 from tallywright.llm.quality import score_quality
 from tallywright.llm.secrets import scan_secrets
@@ -99,4 +100,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """DuckDB SQL by query."""
-    return {}
+    found = dict(ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
