@@ -1,7 +1,8 @@
 """SpotSigs fingerprints, with DataFrame functions only.
 
 A spot is a common word and the chain of the next two content words after it. The
-set of a text's spots is its fingerprint. Texts without a common word take every
+set of a text's spots is its fingerprint. A few words drawn by their hash count as
+common in every language. Texts without a common word take every
 word as the start of a chain; texts without words are one signature of the whole
 text. Sets are compared by Jaccard similarity; pairs are looked for only between
 sets whose lengths allow the similarity, through the rarest signatures of each set.
@@ -24,13 +25,15 @@ ANCHORS = (
     "le la les et est une un de du que qui dans par pour sur pas au "
     "el los las y en con se del por una lo no su al es"
 ).split()
+#: One in so many words, drawn by its hash, counts as common, so that texts of any language have some.
+SAMPLED = 8
 WORD = 0xFFFFFFFF
 
 
 def _spots(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add a column of the distinct 32-bit signatures of a text column, ascending."""
     tokens, at, content = f"{out}_tokens", f"{out}_at", f"{out}_content"
-    common = lambda w: w.isin(ANCHORS)
+    common = lambda w: w.isin(ANCHORS) | (F.xxhash64(w).bitwiseAND(F.lit(SAMPLED - 1)) == 0)
     split = df.withColumn(tokens, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD), lambda w: w != ""))
     placed = split.withColumn(at, F.array_compact(F.transform(tokens, lambda w, i: F.when(common(w), i)))).withColumn(content, F.filter(tokens, lambda w: ~common(w)))
 
