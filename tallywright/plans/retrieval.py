@@ -11,7 +11,11 @@ from tallywright.operators.temporal import decayed_stats, latest_prior, ranked_h
 from tallywright.plans.base import COLUMNS, EVAL_FROM, Registry, catalog, pool, read
 
 R = Registry()
-ASKED = F.col("d") >= F.lit(EVAL_FROM).cast("date")
+
+
+def asked():
+    """Rows of the evaluation period, which are the queries."""
+    return F.col("d") >= F.lit(EVAL_FROM).cast("date")
 
 
 def q4(x):
@@ -48,7 +52,7 @@ def src1_catalog_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def joi6_prior_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the same key strictly before each query."""
-    return ranked_history(catalog(spark, sf_dir), ["code", "model"]).where(ASKED).select("row_key", F.col("prior").alias("n"))
+    return ranked_history(catalog(spark, sf_dir), ["code", "model"]).where(asked()).select("row_key", F.col("prior").alias("n"))
 
 
 TOP = """SELECT q.row_key AS q, c.row_key AS c, row_number() OVER (PARTITION BY q.row_key ORDER BY c.d DESC, c.row_key DESC) AS pool_rank
@@ -57,7 +61,7 @@ TOP = """SELECT q.row_key AS q, c.row_key AS c, row_number() OVER (PARTITION BY
 
 def _top(name: str, keys: list[str], n: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = latest_prior(catalog(spark, sf_dir), ASKED, keys, n, COLUMNS)
+        pairs = latest_prior(catalog(spark, sf_dir), asked(), keys, n, COLUMNS)
         return pairs.select(F.col("q_row_key").alias("q"), F.col("c_row_key").alias("c"), "pool_rank")
 
     R.query(name, TOP.format(on=" AND ".join(f"q.{k} = c.{k}" for k in keys), n=n), "catalog")(run)
@@ -76,7 +80,7 @@ DAILY = """SELECT d, {w} AS w, {m} AS mean FROM (SELECT q.d, sum(power(2, -date_
 @R.query("agg8_global_decayed_prior", DAILY.format(w=s4("sw"), m=s4("sx / sw")), "catalog")
 def agg8_global_decayed_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decayed weight and mean of all rows before each day; one row a day is all that meets in a window."""
-    stats = decayed_stats(catalog(spark, sf_dir).withColumn("every", F.lit(1)), ASKED, ["every"], 365.0)
+    stats = decayed_stats(catalog(spark, sf_dir).withColumn("every", F.lit(1)), asked(), ["every"], 365.0)
     return stats.select("d", q4(F.col("w")).alias("w"), q4(F.col("mean")).alias("mean"))
 
 
@@ -89,7 +93,7 @@ DECAY = """SELECT code, model, d, n AS n_prior, {w} AS w, {m} AS mean, CASE WHEN
 @R.query("agg6_decayed_stats", DECAY.format(w=s4("sw"), m=s4("sx / sw"), v=s4("sxx / sw - (sx / sw) * (sx / sw)")), "catalog")
 def agg6_decayed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponentially decayed statistics of log price before each query day and identity."""
-    stats = decayed_stats(catalog(spark, sf_dir), ASKED, ["code", "model"], 365.0)
+    stats = decayed_stats(catalog(spark, sf_dir), asked(), ["code", "model"], 365.0)
     variance = F.when(F.col("n_prior") == 1, F.lit(0.25)).otherwise(F.greatest(q4(F.col("variance")), F.lit(0.01)))
     return stats.select("code", "model", "d", "n_prior", q4(F.col("w")).alias("w"), q4(F.col("mean")).alias("mean"), variance.alias("variance"))
 
@@ -113,9 +117,9 @@ def agg9_shrinkage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior log price of each query: commodity and unit, then family and unit, then identity."""
     rows = catalog(spark, sf_dir)
     levels = [(["code", "uom"], "u"), (["family", "uom"], "f"), (["code", "model"], "m")]
-    out = rows.where(ASKED).select("row_key", "d", "code", "family", "uom", "model")
+    out = rows.where(asked()).select("row_key", "d", "code", "family", "uom", "model")
     for keys, name in levels:
-        stats = decayed_stats(rows, ASKED, keys, 365.0).select(*keys, "d", F.col("mean").alias(f"{name}_mean"), F.col("w").alias(f"{name}_w"))
+        stats = decayed_stats(rows, asked(), keys, 365.0).select(*keys, "d", F.col("mean").alias(f"{name}_mean"), F.col("w").alias(f"{name}_w"))
         out = out.join(stats, [*keys, "d"], "left")
     p2 = shrink(F.col("f_mean"), F.col("f_w"), F.col("u_mean"), 3)
     return out.select("row_key", q4(shrink(F.col("m_mean"), F.col("m_w"), p2, 8)).alias("posterior"))
@@ -147,7 +151,7 @@ R.sql(
 
 
 def _tagged(spark: SparkSession, sf_dir: str, keys: list[str], n: int, channel: str, priority: int) -> DataFrame:
-    pairs = latest_prior(catalog(spark, sf_dir), ASKED, keys, n, ["row_key", "d"])
+    pairs = latest_prior(catalog(spark, sf_dir), asked(), keys, n, ["row_key", "d"])
     return pairs.select(F.col("q_row_key").alias("q"), F.col("c_row_key").alias("c"), F.lit(channel).alias("channel"), F.lit(priority).alias("priority"))
 
 
