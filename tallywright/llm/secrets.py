@@ -2,9 +2,9 @@
 
 Random strings compress badly under a vocabulary made from natural text: they give
 few characters per token. Candidate runs of key-like characters are measured under
-a tiktoken vocabulary, and those below a ratio are reported, unless they look like
-known digests (hex of a digest's length) or identifiers (UUIDs, words joined by
-separators, letters alone, digits alone).
+a tiktoken vocabulary, and those below a ratio are reported, unless they are known
+digests (hex of a digest's length), UUIDs, or parts joined by separators that all
+reach the ratio. Separators count neither as characters nor as tokens.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
+_SEPARATORS = re.compile(r"[+/_=-]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 #: Longest run whose tokens are counted at once; longer runs are measured in pieces of this length.
 PIECE = 4096
@@ -43,13 +44,8 @@ def _encoding(path: str):
 
 
 def is_identifier(run: str) -> bool:
-    """Known digests, and names that people or systems give."""
-    if _UUID.fullmatch(run) or (_DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS):
-        return True
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-        return True
-    parts = [p for p in re.split(r"[+/_=-]+", run) if p]
-    return all(p.isalpha() or p.isdigit() or len(p) < 8 for p in parts)
+    """UUIDs and known digests."""
+    return bool(_UUID.fullmatch(run) or (_DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS))
 
 
 def characters_per_token(run: str, path: str) -> float:
@@ -59,6 +55,14 @@ def characters_per_token(run: str, path: str) -> float:
     return len(run) / max(1, tokens)
 
 
+def is_opaque(run: str, path: str, ratio: float) -> bool:
+    """A run of few characters per token; its separators are left out, and parts that all read like words are names."""
+    parts = [p for p in _SEPARATORS.split(run) if p]
+    if is_identifier(run) or all(characters_per_token(p, path) >= ratio for p in parts):
+        return False
+    return characters_per_token("".join(parts), path) < ratio
+
+
 def scan(text: str, path: str, ratio: float = 2.2) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every span, by start, then kind; places in code points."""
     spans = []
@@ -68,9 +72,7 @@ def scan(text: str, path: str, ratio: float = 2.2) -> list[tuple[int, int, int]]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    spans += [
-        (m.start(), 3, m.end()) for m in _RUN.finditer(text) if not is_identifier(m[0]) and characters_per_token(m[0], path) < ratio
-    ]
+    spans += [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if is_opaque(m[0], path, ratio)]
     return sorted(spans)
 
 

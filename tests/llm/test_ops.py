@@ -252,6 +252,16 @@ def test_secrets(docs, empty):
     assert secrets.scan_secrets(empty, path).count() == 0
 
 
+def test_opaque_runs_of_letters_and_short_groups():
+    path = tokens.vocabulary("byte_bpe_50k.tiktoken")
+    for key in ("X7K2P-9QW4M-RT83L-ZQ5V1", "qXvBzRtKwPmLhGfDsJcN", "x7k2_p9qw_4mrt_83lz_q5v1", "Zx9Qk2LmPw84RtVb73NcYd61"):
+        text = f"first {key} last"
+        found = secrets.scan(text, path)
+        assert found == [(6, 3, 6 + len(key))] and secrets.redact(text, found) == "first [SECRET] last"
+    for name in ("near_duplicate_components", "internationalization", "state-of-the-art-is-a-thing", "123e4567-e89b-12d3-a456-426614174000", "-" * 30):
+        assert secrets.scan(f"first {name} last", path) == []
+
+
 # ---- sharding
 
 
