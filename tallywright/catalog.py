@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["evaluation", "retrieval", "store", "scalars", "more"]
+MODULES = ["evaluation", "retrieval", "history", "store", "scalars", "more"]
 
 
 def _modules():
