@@ -9,6 +9,8 @@ import re
 #: Elements of HTML by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is no markup: without an end tag they run to the end of the page.
+RAW_TEXT = {"script", "style", "textarea", "title", "iframe"}
 DROPPED = frozenset("audio canvas iframe noscript object script style svg template textarea title video".split())
 #: A start tag of these ends an open element of those.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -117,9 +119,9 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
             continue
         ends = match[1] or match[4]
         if name in DROPPED:
-            if not ends:
+            if not ends and not (name == "svg" and match[0].endswith("/>")):
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else len(page) if name in RAW_TEXT else at
             continue
         if name in INLINE:
             if name in ("br", "img", "wbr"):

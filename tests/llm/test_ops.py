@@ -262,6 +262,13 @@ def test_opaque_runs_of_letters_and_short_groups():
         assert secrets.scan(f"first {name} last", path) == []
 
 
+def test_dropped_tags_without_an_end_keep_the_rest():
+    for tag in ('<svg width="1"/>', "<svg>", "<object data=x>", "<video src=x>", "<canvas>"):
+        assert "kept words" in str(html_blocks.blocks(f"<p>first</p>{tag}<p>kept words</p>"))
+    assert "kept words" in str(html_blocks.blocks("<svg/><p>kept words</p><svg>gone</svg>"))
+    assert "gone" not in str(html_blocks.blocks("<p>first</p><script>gone<p>gone</p>"))
+
+
 # ---- sharding
 
 
