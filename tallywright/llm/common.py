@@ -44,6 +44,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_worker: dict[tuple, object] = {}
+
+
+def worker_model(key: tuple | None, make=None):
+    """The one large model that a Python worker keeps between tasks.
+
+    Workers outlive the stage that started them. Asking for another model drops
+    the one that is kept; a key of None drops it and keeps none.
+    """
+    if key is None or key not in _worker:
+        _worker.clear()
+        if key is None:
+            return None
+        _worker[key] = make()
+    return _worker[key]
+
+
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A table from a short list of tuples whose length the caller has bounded."""
     names = [field.split()[0] for field in schema.split(",")]

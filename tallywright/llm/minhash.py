@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import ascii_lower, materialize
+from tallywright.llm.common import ascii_lower, materialize, worker_model
 from tallywright.llm.components import connected_components
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -112,6 +112,7 @@ def band_keys(minima: np.ndarray, size: int) -> np.ndarray:
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_model(None)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):

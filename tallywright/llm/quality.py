@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import materialize
+from tallywright.llm.common import materialize, worker_model
+from tallywright.llm.tokens import slices
 
 STATISTICS = (
     "log_chars", "letters", "upper", "digits", "blank", "line_ends", "sentence_ends", "commas", "bangs", "pipes", "marks", "wide",
@@ -56,9 +57,10 @@ def statistics(text: str) -> list[float]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_model(None)
     for batch in batches:
-        rows = [statistics(text or "") for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "row_hash", "x"])
+        rows = pa.array([statistics(text) for texts in slices(batch.column("text")) for text in texts], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), rows], ["doc_id", "row_hash", "x"])
 
 
 def vectors(docs: DataFrame) -> DataFrame:
@@ -194,6 +196,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
 
     Null texts count as empty; empty texts are scored as vectors of zeros. Without
     training rows of both labels every score is 0.5. Scores use the text alone.
+    Repeated rows are scored each, with equal scores. A null doc_id is held out.
+    Further columns are ignored, whatever their names. An empty table gives none.
     """
     features = vectors(docs)
     model = train(features, labels)
@@ -205,7 +209,7 @@ def _kept(model: Discriminant | None, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if model and batch.num_rows:
-                x = np.array([statistics(text or "") for text in batch.column("text").to_pylist()])
+                x = np.array([statistics(text) for texts in slices(batch.column("text")) for text in texts])
                 batch = batch.filter(pa.array(model.score(x) >= threshold))
             yield batch
 

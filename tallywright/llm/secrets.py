@@ -13,12 +13,13 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.llm.common import worker_model
+from tallywright.llm.tokens import slices
+
 KINDS = ("assign", "access", "hex", "opaque")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -33,14 +34,16 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 PIECE = 4096
 
 
-@cache
 def _encoding(path: str):
-    import public_tokenizers
-    import tiktoken
+    def load():
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return worker_model(("ranks", path), load)
 
 
 def is_identifier(run: str) -> bool:
@@ -94,8 +97,10 @@ def _scanned(path: str, ratio: float, mark: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            nulls = iter(batch.column("text").is_null().to_pylist())
+            for text in (t for texts in slices(batch.column("text")) for t in texts):
                 spans = scan(text, path, ratio) if text else []
+                text = None if next(nulls) else text
                 base = [s for s in spans if s[1] < 3]
                 counts = [sum(s[1] == kind for s in base) for kind in range(3)]
                 row = (*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans))
@@ -112,12 +117,14 @@ def _scanned(path: str, ratio: float, mark: str | None):
 def scan_secrets(docs: DataFrame, vocabulary_path: str, ratio: float = 2.2, mark: str | None = None) -> DataFrame:
     """Secrets of each text, whole, one row per row.
 
-    docs: doc_id, text and any further columns, which stay. Null and empty texts
-    have no spans. With ``mark``, a column ``redacted`` holds the text with each
-    span replaced (null stays null). The columns added are n_assign, n_access,
-    n_hex, base_sha256, spans and perhaps redacted; docs must not have those.
+    docs: text and any further columns, which stay, null ids and repeated rows too.
+    Null and empty texts have no spans. The columns added are n_assign, n_access,
+    n_hex, base_sha256 and spans, in place of columns of docs that have one of these
+    names. With ``mark``, a column ``redacted`` holds the text with each span
+    replaced (null stays null). An empty table gives an empty result.
     """
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    own = {"n_assign", "n_access", "n_hex", "base_sha256", "spans", *(["redacted"] if mark is not None else [])}
+    kept = [f for f in docs.schema.fields if f.name != "text" and f.name.lower() not in own]
     schema = docs.select(*[f.name for f in kept]).schema
     for name in ("n_assign", "n_access", "n_hex"):
         schema = schema.add(name, "long")

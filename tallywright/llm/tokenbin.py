@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import table_path
-from tallywright.llm.tokens import encoder
+from tallywright.llm.tokens import encoder, slices
 
 MAGIC = b"DAC1"
 BLOCK = 512
 #: Ids after which a segment is closed at the end of a document.
 SEGMENT_IDS = 1 << 18
+#: Bytes of text that a partition of the writer holds, about.
+PARTITION_BYTES = 64 << 20
 
 
 def encode_segment(ids: np.ndarray, chunk_bits: int = 8) -> bytes:
@@ -119,12 +121,11 @@ def _write_partition(tokenizer_path: str, end_id: int, chunk_bits: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, _ARROW, strict=True)], [n for n, _ in _ARROW])
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            part = batch.column("part")[0].as_py() if len(doc_ids) else part
-            for at in range(0, len(texts), 256):
-                for doc_id, x in zip(doc_ids[at : at + 256], ids.encode(texts[at : at + 256]), strict=True):
-                    held.append((doc_id, x + end))
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            for texts in slices(batch.column("text")):
+                for x in ids.encode(texts):
+                    held.append((next(doc_ids), x + end))
                     size += len(x) // 4 + 1
                     if size >= SEGMENT_IDS:
                         yield close()
@@ -143,15 +144,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, chu
     """Encode all documents in ascending doc_id order; return the table's path.
 
     Null texts are empty and give the end id alone. Null doc_ids come first; rows
-    with equal doc_ids stand in the order of a hash of their text. An empty table
-    gives an empty file set.
+    with equal doc_ids stand in the order of a hash of their text. Further columns
+    are ignored, whatever their names. An empty table gives an empty file set.
+    Without ``partitions`` their number follows the bytes of text.
     """
     spark = docs.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if partitions is None:
+        held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // PARTITION_BYTES))
     path = table_path(spark, "token-files")
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_hash"))
-        .repartitionByRange(n, "doc_id", "row_hash")
+        .repartitionByRange(partitions, "doc_id", "row_hash")
         .sortWithinPartitions("doc_id", "row_hash")
         .select(F.spark_partition_id().alias("part"), "doc_id", "text")
         .mapInArrow(_write_partition(tokenizer_path, end_id, chunk_bits), SCHEMA)

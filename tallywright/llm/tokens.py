@@ -1,105 +1,111 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of words.
 
-The vocabularies used here split a text into words before any merge, and never
-merge across white space. A text is therefore cut at white space where that is
-exact, each distinct piece is encoded once by the library, and the ids of a text
-are the ids of its pieces in order. Texts in which white space itself would be
-split differently are encoded whole.
+The vocabularies used here cut a text into words by a fixed pattern before any
+merge, and merge within a word alone. Texts whose characters are all printable
+ASCII, white space or Latin letters are cut by that pattern here, each distinct
+word is encoded once by the library's model, and the ids of a text are those of its
+words in order. All other texts are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
-#: Pieces kept per worker; beyond that the cache starts anew.
-CACHE_PIECES = 600_000
-#: Python's white space besides the space and the line feed.
-_OTHER_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-_OTHER_ASCII = [c for c in _OTHER_WHITE if c.isascii()]
-#: Python takes these for white space, Unicode does not.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-
-
-def _regular(text: str) -> bool:
-    """All white space is one space or line feed between two words."""
-    return not (
-        text[0].isspace()
-        or text[-1].isspace()
-        or any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
-        or any(c in text for c in (_OTHER_ASCII if text.isascii() else _OTHER_WHITE))
-    )
+from tallywright.llm.common import worker_model
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_encoders: dict[tuple[str, bool], "WordEncoder"] = {}
+#: Bytes that a generation of cached words may take; two are kept.
+CACHE_BYTES = 48_000_000
+#: Bytes of a cached word besides its characters and ids.
+_ENTRY = 190
+#: Texts without such characters are cut here. Their letters have one lower-case form and no composition.
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]")
+# The words of the two public vocabularies, for texts without _OTHER.
+_LETTERS, _MARKS, _ENDINGS = r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", r"[!-/:-@\[-`{-~]+", r"'(?:[stmd]|re|ve|ll)"
+_WORDS = re.compile(rf"{_LETTERS}|[0-9]|{_ENDINGS}|{_MARKS}")
+_SPACED_WORDS = re.compile(rf" ?{_LETTERS}|{_ENDINGS}| ?[0-9]+| ?{_MARKS}|\s+(?!\S)|\s+")
+_PROBE = "It's a  Test-case,\n\n'tis 1984 o'clock!! \t don't''ve Émile x <|endoftext|> a_b ...ß 'S"
 
 
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str, keeps_space: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_space = keeps_space
-        self.cache: dict[str, bytes] = {}
-        self.separator: int | None = None
+        self.find_words = (_SPACED_WORDS if keeps_space else _WORDS).findall
+        self.to_bytes = normalizers.ByteLevel().normalize_str
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.weight = 0
+        probe = _PROBE.replace(" ", " ")
+        (ids,) = self._whole([probe])
+        words = self._words(probe)
+        self.cuts = ids == b"".join(self._encode_words(words))  # else this vocabulary has other words
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces whose ids add up to the text's, or None."""
-        if not self.keeps_space:
-            return None if any(c in text for c in _SEPARATORS) else text.split()
-        if not _regular(text):
-            return None
-        # a piece is a word with the one space or line feed before it
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *(p if p[:1] == "\n" else " " + p for p in rest)]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, from one text in which a separator's id stands between them."""
-        import numpy as np
+    def _words(self, text: str) -> list[str]:
+        return self.find_words(text if self.keeps_space else text.lower())
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word by the model alone; words here hold no zero byte."""
+        from array import array
 
-        between, mark = ("\t", "\t") if self.keeps_space else (" \x01 ", "\x01")
-        if self.separator is None:
-            (self.separator,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        (joined,) = self.tokenizer.encode_batch_fast([between.join(pieces)], add_special_tokens=False)
-        ids = np.asarray(joined.ids, "<u4")
-        cuts = (4 * np.flatnonzero(ids == self.separator)).tolist()
-        if len(cuts) != len(pieces) - 1:  # a piece holds the separator itself
-            return self._whole(pieces)
-        data = ids.tobytes()
-        return [data[start:end] for start, end in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in self.to_bytes("\0".join(words)).split("Ā")]
+
+    def _remember(self, wanted: set[str]) -> dict[str, bytes]:
+        """A table of the wanted words; words not met for a generation are forgotten."""
+        if self.weight > CACHE_BYTES:
+            self.old, self.young, self.weight = self.young, {}, 0
+        young, old = self.young, self.old
+        unknown = wanted.difference(young)
+        found = {w: old[w] for w in unknown if w in old}
+        missing = list(unknown.difference(found))
+        if missing:
+            found.update(zip(missing, self._encode_words(missing), strict=True))
+        young.update(found)
+        self.weight += sum(map(len, found)) + sum(map(len, found.values())) + _ENTRY * len(found)
+        return young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; an empty text has none."""
-        cut = [self._pieces(text) if text else [] for text in texts]
-        wanted = set().union(*(c for c in cut if c))
-        cache = self.cache
-        if len(cache) + len(wanted) > CACHE_PIECES:
-            cache.clear()
-        missing = [p for p in wanted if p not in cache]
-        if missing:
-            cache.update(zip(missing, self._encode_pieces(missing), strict=True))
-        find = cache.__getitem__
-        return [self._whole([text])[0] if pieces is None else b"".join(map(find, pieces)) for text, pieces in zip(texts, cut, strict=True)]
+        cut = [self._words(text) if self.cuts and not _OTHER.search(text) else None for text in texts]
+        find = self._remember(set().union(*(c for c in cut if c))).__getitem__
+        whole = iter(self._whole([text for text, words in zip(texts, cut, strict=True) if words is None]))
+        return [next(whole) if words is None else b"".join(map(find, words)) for words in cut]
 
 
 def encoder(path: str, keeps_space: bool) -> WordEncoder:
     """This worker's encoder for a vocabulary file.
 
     keeps_space: the vocabulary's words carry the space before them (byte-level
-    BPE); otherwise white space is dropped.
+    BPE); otherwise white space is dropped and letters are taken in lower case.
     """
-    if (path, keeps_space) not in _encoders:
-        _encoders[path, keeps_space] = WordEncoder(path, keeps_space)
-    return _encoders[path, keeps_space]
+    return worker_model(("words", path, keeps_space), lambda: WordEncoder(path, keeps_space))
+
+
+def slices(texts, size: int = 1_000_000):
+    """Lists of consecutive values of an Arrow string column, nulls as empty texts, each of about so many bytes or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield [t or "" for t in texts.slice(at, to - at).to_pylist()]
+        at = to
 
 
 def vocabulary(name: str) -> str:

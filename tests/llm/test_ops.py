@@ -312,23 +312,46 @@ def test_packing(docs, empty):
     assert len([r for r in got if r.piece == 0]) == docs.count()
 
 
-def test_best_fit_is_tight():
+def naive_best_fit(lengths, capacity):
+    """Sequences of best-fit decreasing, one piece at a time."""
+    from bisect import bisect_left, insort
+
+    gaps, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, length)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        n += at >= len(gaps) and gap == capacity
+        if gap > length:
+            insort(gaps, gap - length)
+    return n
+
+
+@pytest.mark.parametrize("capacity, spread", [(4096, 1.2), (512, 2.0), (4096, 0.1)])
+def test_supersteps_pack_as_tightly_as_naive_best_fit(spark, capacity, spread):
     rng = np.random.default_rng(0)
-    lengths = Counter(np.minimum(4096, rng.lognormal(6.5, 1.2, 20_000).astype(int) + 1).tolist())
-    rules = packing.best_fit_rules(lengths, 4096)
-    fill = Counter()
-    for length, low, high, per, first, _ in rules:
-        for i in range(high - low):
-            fill[first + i // per] += length
-    assert max(fill.values()) <= 4096 and len(fill) <= sum(n * k for n, k in lengths.items()) / 4096 * 1.01 + 1
+    lengths = np.minimum(capacity, rng.lognormal(5.5, spread, 4_000).astype(int) + 1).tolist()
+    counts = spark.createDataFrame(list(Counter(lengths).items()), "length int, count long")
+    rules = packing.placement_rules(spark, counts, capacity).collect()
+    fill, placed = Counter(), Counter()
+    for r in rules:
+        for i in range(r.n):
+            assert fill[r["at"] + i // r.per] <= capacity
+            fill[r["at"] + i // r.per] += r.size
+        placed[r.size] += r.n
+    assert placed == Counter(lengths) and max(fill.values()) <= capacity
+    assert sorted(fill) == list(range(len(fill)))
+    assert len(fill) <= naive_best_fit(lengths, capacity) * 1.002 + 1
 
 
 @pytest.mark.parametrize("name, keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_word_encoder_equals_library(name, keeps):
-    odd = ["", "a", "  ", "a  b", "\n", "a\n", "\na", "a\n\nb", "a \n b", " a", "a ", "don't  stop", "x\ty", "a\x01b \x01", "<|endoftext|> z", "é é", "a\x1cb", "½ Ⅷ", " a", "日本 語", "ΑΣ ΑΣΑ", LONG[:5000]]
+def test_word_encoder_equals_library(name, keeps, monkeypatch):
+    odd = ["it''s ,'s 'Tis DON'T ŉ ǅ ß é Å x_y __ 12 3a4 \r\n a\r b\t\t c", "İx \u0301a ---'ll we'll 'S", "", "a", "  ", "a  b", "\n", "a\n", "\na", "a\n\nb", "a \n b", " a", "a ", "don't  stop", "x\ty", "a\x01b \x01", "<|endoftext|> z", "é é", "a\x1cb", "½ Ⅷ", " a", "日本 語", "ΑΣ ΑΣΑ", LONG[:5000]]
     encoder = tokens.WordEncoder(tokens.vocabulary(name), keeps)
     for text, got in zip(odd, encoder.encode(odd), strict=True):
         assert got == np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    assert encoder.cuts
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1)
+    assert encoder.encode(odd) == encoder.encode(odd) == [np.asarray(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
 
 
 @pytest.mark.parametrize("bits", [8, 16])
