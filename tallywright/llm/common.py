@@ -16,14 +16,17 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    tests on one machine, a temporary folder is set as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and Spark
+    runs in one process, as in tests, a temporary folder is set as the checkpoint
+    folder; on a cluster that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallywright-"))
     return context.getCheckpointDir().get().rstrip("/")
 
@@ -41,7 +44,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = table_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    for held in tables:
+        spark = held.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(held.written_to)
+        path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 _worker: dict[tuple, object] = {}

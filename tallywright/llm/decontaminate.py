@@ -16,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import BROADCAST_ROWS, ascii_lower, materialize, maybe_broadcast
+from tallywright.llm.common import BROADCAST_ROWS, ascii_lower, discard, materialize
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bits of a gram's number that hold its place in the text.
 PLACE_BITS = 31
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A row with this print carries a document's number of words; prints have 33 bits.
+COUNT = 1 << 40
 
 
 def words_of(text: Column) -> Column:
@@ -96,34 +97,50 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, k: int =
     )
     lengths = sorted(r["n"] for r in windows.where(F.col("n") < window).select("n").distinct().collect())  # at most window - 1
     prints = materialize(_prints_of_windows(windows, window, k, lengths), "prints")
-    n_prints = prints.count()
+    n_prints, n_windows = prints.count(), windows.count()
+    prints = prints.union(docs.sparkSession.range(1).select(F.lit(COUNT), F.lit(-1)))
 
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
     words = base.select("doc_id", "row_hash", words_of(F.col("text")).alias("words"))
     grams = _hashed(words, "doc_id", "row_hash").select("*", _grams("hashes", k).alias("grams"))
     shorts = [_grams("hashes", n, n) for n in lengths]
-    chosen = grams.select("doc_id", "row_hash", "words", F.concat(_picked("grams", window - k + 1), *shorts).alias("grams"))
+    count = F.array(F.lit(None).cast("long"))
+    chosen = grams.select("doc_id", "row_hash", "words", F.concat(_picked("grams", window - k + 1), *shorts, count).alias("grams"))
     # the words ride along only within the stage; the join keeps them for its hits. The
-    # outer form keeps the optimizer from computing all grams twice for a test of size
+    # outer form keeps the optimizer from computing all grams twice for a test of size.
+    # One row more for each document, with no gram, holds its number of words
+    place = F.col("gram").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
     exploded = chosen.select("doc_id", "row_hash", "words", F.explode_outer("grams").alias("gram")).select(
-        "doc_id", "row_hash", "words", F.shiftright("gram", PLACE_BITS).alias("print"), F.col("gram").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("at")
+        "doc_id", "row_hash", "words", F.coalesce(F.shiftright("gram", PLACE_BITS), F.lit(COUNT)).alias("print"), F.coalesce(place, F.size("words")).alias("at")
     )
     if n_prints <= BROADCAST_ROWS:
-        seeds = exploded.join(F.broadcast(prints), "print")
+        seeds = exploded.join(F.broadcast(prints), "print").drop("print")
     else:  # too many to broadcast: shuffle slim rows, then fetch the words of the documents hit
-        hit = exploded.drop("words").join(prints, "print").withColumnRenamed("doc_id", "hit_id").withColumnRenamed("row_hash", "hit_hash")
-        seeds = words.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_hash") == F.col("hit_hash")))
+        met = exploded.drop("words").where(F.col("print") != COUNT).join(prints, "print").drop("print")
+        counts = words.select("doc_id", "row_hash", F.lit(None).cast("array<string>").alias("words"), F.size("words").alias("at"), F.lit(-1).alias("n"))
+        met = met.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("row_hash", "hit_hash")
+        seeds = words.join(met, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_hash") == F.col("hit_hash"))).select("doc_id", "row_hash", "words", "at", "n").union(counts)
 
     # extension: every window of words around a seed, compared with the items' windows
-    length = F.when(F.col("n") == 0, F.lit(window)).otherwise(F.col("n"))
+    counts_words = F.col("n") < 0
+    length = F.when(counts_words, F.col("at")).when(F.col("n") == 0, F.lit(window)).otherwise(F.col("n"))
     reach = F.when(F.col("n") == 0, F.lit(window - k)).otherwise(F.lit(0))
-    first = F.greatest(F.col("at") - reach, F.lit(0))
-    last = F.least(F.col("at"), F.size("words") - length)
+    first = F.when(counts_words, F.lit(-1)).otherwise(F.greatest(F.col("at") - reach, F.lit(0)))
+    last = F.when(counts_words, F.lit(-1)).otherwise(F.least(F.col("at"), F.size("words") - length))
     around = seeds.select("doc_id", "row_hash", "words", length.alias("length"), F.explode_outer(F.sequence(first, last)).alias("first"))
-    candidates = around.select("doc_id", "row_hash", "first", "length", F.concat_ws(" ", F.slice("words", F.col("first") + 1, F.col("length"))).alias("span"))
+    span = F.when(F.col("first") >= 0, F.concat_ws(" ", F.slice("words", F.greatest("first", F.lit(0)) + 1, F.col("length")))).otherwise(F.lit(""))
+    candidates = around.select("doc_id", "row_hash", "first", "length", span.alias("span"))
     spans = windows.select("span").distinct()
-    hits = candidates.join(maybe_broadcast(spans, n_prints * window), "span", "left_semi").distinct()
-    hits = materialize(hits, "hits")
+    if n_windows <= BROADCAST_ROWS:
+        spans = spans.union(docs.sparkSession.range(1).select(F.lit("")))
+        met = candidates.join(F.broadcast(spans), "span", "left_semi").distinct()
+    else:
+        candidates = materialize(candidates, "candidates")
+        met = candidates.where("first >= 0").join(spans, "span", "left_semi").union(candidates.where("first < 0").select("span", "doc_id", "row_hash", "first", "length")).distinct()
+    met = materialize(met.select("doc_id", "row_hash", "first", "length", "span"), "hits")
+    if n_windows > BROADCAST_ROWS:
+        discard(candidates)
+    hits = met.where("first >= 0")
 
     end = F.col("first") + F.col("length")
     earlier = Window.partitionBy("doc_id", "row_hash").orderBy("first", "length").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,15 +162,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, k: int =
         .join(found.alias("f"), F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("c.row_hash") == F.col("f.row_hash")))
         .select("c.doc_id", "c.row_hash", "c.n_hit", "f.items")
     )
-    counted = base.select("doc_id", "row_hash", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
     n_hit = F.coalesce(F.col("j.n_hit"), F.lit(0)).cast("long")
     items_hit = F.coalesce(F.col("j.items"), F.expr("cast(array() as array<string>)"))
-    return (
+    counted = met.where("first < 0").select("doc_id", "row_hash", F.col("length").cast("long").alias("n_words"))
+    verdicts = (
         counted.alias("d")
         .join(judged.alias("j"), F.col("d.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("d.row_hash") == F.col("j.row_hash")), "left")
         .select(
-            "d.doc_id",
-            "d.row_hash",
+            F.col("d.doc_id").alias("of_id"),
+            F.col("d.row_hash").alias("of_hash"),
             "d.n_words",
             n_hit.alias("n_hit"),
             F.size(items_hit).cast("long").alias("n_items"),
@@ -161,3 +178,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, k: int =
             ((n_hit > 0) & (n_hit * share >= F.col("d.n_words"))).alias("contaminated"),
         )
     )
+    # a row for each row of docs: texts are read once more, but only hashed
+    each = base.select("doc_id", "row_hash").join(verdicts, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row_hash") == F.col("of_hash")))
+    return each.drop("of_id", "of_hash")

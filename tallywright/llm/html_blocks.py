@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 
 #: Elements of HTML by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -38,7 +39,8 @@ FEATURES = (
 )
 INDEX = {name: number for number, name in enumerate(FEATURES)}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_SPECIAL = re.compile("""[>"']""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -57,14 +59,136 @@ def _marks(attributes: str) -> frozenset[int]:
     return frozenset(found)
 
 
+_ANCESTOR_INDEX = {name: INDEX[f"in {name}"] for name in ANCESTORS}
+
+
+class _Tags:
+    """Tags of a page in order, each found in time that adds up to the length of the page.
+
+    A tag ends at the first > outside quotes; without one at the first >. What a
+    search that failed has seen is remembered, so that no later one reads it again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.last_special = max(self.last.values())
+        self.dead: set[int] = set()  # quotes after which no > stands outside quotes
+        self.endless: set[str] = set()  # elements without a further end tag
+
+    def _end(self, at: int) -> int:
+        """Place of the > that ends a tag whose attributes start here, or -1."""
+        page, passed, start = self.page, [], at
+        while at <= self.last_special:
+            k = _SPECIAL.search(page, at).start()
+            if page[k] == ">":
+                return k
+            passed.append(k)
+            if k in self.dead or self.last[page[k]] <= k:
+                break
+            at = page.index(page[k], k + 1) + 1
+        self.dead.update(passed)
+        return page.find(">", start) if self.last[">"] >= start else -1
+
+    def after(self, at: int):
+        """(start, end, is end tag, name, attributes) of the next tag or comment; comments have no name. None at the end."""
+        page = self.page
+        while match := _START.search(page, at):
+            if match[1]:
+                end = page.find("-->", match.end())
+                return match.start(), len(page) if end < 0 else end + 3, False, "", ""
+            end = self._end(match.end()) if match[4] else page.find(">", match.end()) if self.last[">"] >= match.end() else -1
+            if end >= 0:
+                return match.start(), end + 1, bool(match[3]), (match[4] or "").lower(), page[match.end() : end]
+            at = match.end()
+        return None
+
+    def past(self, name: str, at: int) -> int:
+        """The place after the end tag of a dropped element; its own place, or the page's end for raw text, if there is none."""
+        if name not in self.endless:
+            if end := re.compile(rf"</{name}\b[^>]*>", re.I).search(self.page, at):
+                return end.end()
+            self.endless.add(name)
+        return len(self.page) if name in RAW_TEXT else at
+
+
+class _Open:
+    """Open elements. Features of all of them are counted, so that a block reads them without a walk."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[int, ...], dict[str, list[tuple[int, ...]]]]] = [("", (), {})]
+        self.names: Counter[str] = Counter()
+        self.features: Counter[int] = Counter()
+        self.within: list[Counter[str]] = [Counter()]  # names inside the innermost scope, by scope
+        self.scopes: list[str] = [""]
+        self.anchors = 0
+
+    @property
+    def own(self) -> str:
+        return self.stack[-1][0] or "body"
+
+    def push(self, name: str, marks: frozenset[int]) -> None:
+        found = set(marks)
+        if name in _ANCESTOR_INDEX:
+            found.add(_ANCESTOR_INDEX[name])
+        if name == "header" and self.names["article"]:
+            found.add(INDEX["header in article"])
+        self.stack.append((name, tuple(found), {}))
+        self.features.update(found)
+        self.names[name] += 1
+        if name in SCOPES:
+            self.within.append(Counter())
+            self.scopes.append(name)
+        else:
+            self.within[-1][name] += 1
+
+    def pop(self) -> str:
+        name, found, inline = self.stack.pop()
+        self.features.subtract(found)
+        for held in inline.values():
+            for marks in held:
+                self.features.subtract(marks)
+        self.anchors -= len(inline.get("a", ()))
+        self.names[name] -= 1
+        if name in SCOPES:
+            self.within.pop()
+            self.scopes.pop()
+        else:
+            self.within[-1][name] -= 1
+        return name
+
+    def close_for(self, shut: set[str]) -> None:
+        """End the nearest element named in ``shut`` that no scope hides."""
+        if any(self.within[-1][name] for name in shut) or self.scopes[-1] in shut:
+            while self.pop() not in shut:
+                pass
+
+    def end(self, name: str) -> None:
+        """An end tag: ends the nearest element of the name, and what is open in it."""
+        if self.names[name] if name in SCOPES else self.within[-1][name]:
+            while self.pop() != name:
+                pass
+
+    def push_inline(self, name: str, marks: frozenset[int]) -> None:
+        self.stack[-1][2].setdefault(name, []).append(tuple(marks))
+        self.features.update(marks)
+        self.anchors += name == "a"
+
+    def end_inline(self, name: str) -> None:
+        if held := self.stack[-1][2].get(name):
+            self.features.subtract(held.pop())
+            self.anchors -= name == "a"
+
+
 def blocks(page: str) -> list[tuple[str, list[int]]]:
     """(text, features) of each leaf block in page order; blocks without text are left out.
 
     Character references are decoded and white space becomes one space. Open
     elements end where HTML ends them: a paragraph at the next block, list items
-    and cells at the next of their kind, anything at the end of what holds it.
+    and cells at the next of their kind, anything at the end of what holds it. The
+    time is linear in the page, whatever its nesting and quotes.
     """
-    stack: list[tuple[str, frozenset[int]]] = []
+    opened, tags = _Open(), _Tags(page)
     out: list[tuple[str, list[int]]] = []
     pieces: list[str] = []
     linked = total = links = 0
@@ -74,17 +198,8 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            found = {INDEX["bias"]}
-            own = next((name for name, _ in reversed(stack) if name not in INLINE), "body")
-            found.add(INDEX.get(f"own {own}", INDEX["own other"]))
-            article = False
-            for name, marks in stack:
-                found |= marks
-                if name in _ANCESTOR_INDEX:
-                    found.add(_ANCESTOR_INDEX[name])
-                article |= name == "article"
-                if name == "header" and article:
-                    found.add(INDEX["header in article"])
+            own = opened.own
+            found = {INDEX["bias"], INDEX.get(f"own {own}", INDEX["own other"]), *(f for f, n in opened.features.items() if n)}
             n = len(text)
             found.add(INDEX["chars < 25" if n < 25 else "chars < 80" if n < 80 else "chars < 250" if n < 250 else "chars >= 250"])
             if links:
@@ -107,61 +222,38 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
         if text:
             pieces.append(text)
             total += len(text)
-            if any(name == "a" for name, _ in stack):
-                linked += len(text)
+            linked += len(text) if opened.anchors else 0
 
     at = 0
-    while match := _TOKEN.search(page, at):
-        add(page[at : match.start()])
-        at = match.end()
-        name = (match[2] or match[5] or "").lower()
+    while tag := tags.after(at):
+        start, end, ends, name, attributes = tag
+        add(page[at:start])
+        at = end
         if not name:
             continue
-        ends = match[1] or match[4]
         if name in DROPPED:
-            if not ends and not (name == "svg" and match[0].endswith("/>")):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page) if name in RAW_TEXT else at
-            continue
-        if name in INLINE:
-            if name in ("br", "img", "wbr"):
-                pieces.append(" " if name == "br" else "")
-            elif ends:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        del stack[depth]
-                        break
-                    if stack[depth][0] not in INLINE:
-                        break
+            if not ends and not (name == "svg" and attributes.endswith("/")):
+                at = tags.past(name, at)
+        elif name in ("br", "img", "wbr"):
+            pieces.append(" " if name == "br" else "")
+        elif name in INLINE:
+            if ends:
+                opened.end_inline(name)
             else:
                 links += name == "a"
-                stack.append((name, _marks(match[3] or match[6] or "")))
-            continue
-        close()
-        if ends:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
-                if name not in SCOPES and stack[depth][0] in SCOPES:
-                    break
-        elif name not in VOID:
-            shut = CLOSES.get(name, set()) | {"p"}
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in shut:
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in SCOPES:
-                    break
-            stack.append((name, _marks(match[3] or match[6] or "")))
+                opened.push_inline(name, _marks(attributes))
+        else:
+            close()
+            if ends:
+                opened.end(name)
+            elif name not in VOID:
+                opened.close_for(CLOSES.get(name, set()) | {"p"})
+                opened.push(name, _marks(attributes))
     add(page[at:])
     close()
     return out
 
 
-_ANCESTOR_INDEX = {name: INDEX[f"in {name}"] for name in ANCESTORS}
-
-
 def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[int]]]:
     """(page, label of each block) of n pages made from layouts by rule; 1 marks main text."""
     rng = random.Random(seed)
@@ -205,7 +297,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[int]]]:
             inner = [leaf("label", words(1, 3), 0), leaf("p", sentence(3, 20), 0), ("<input name='x'>", -1), leaf("button", words(1, 2), 0)]
             return wrap(("form", "form class='subscribe'", "div class='newsletter'", "form id='search'"), inner)
         if part == "share":
-            return wrap(("div class='share'", "div class='social'", "ul class='tags'"), [leaf("span" if rng.random() < 0 else "li", link(words(1, 2)), 0) for _ in few])
+            return wrap(("div class='share'", "div class='social'", "ul class='tags'"), [leaf("li", link(words(1, 2)), 0) for _ in few])
         inner = [x for _ in few for x in (leaf(rng.choice(("h4", "div")), words(1, 2), 0), leaf("p", " ".join(sentence(4, 18) for _ in range(rng.randint(1, 4))), 0))]
         return wrap(("section class='comments'", "div id='comments'", "ol class='commentlist'", "div class='comment-thread'", "section id='discussion'"), inner)
 

@@ -7,9 +7,10 @@ Bands of bins make bucket keys. Each bucket gives a star of candidate edges, fro
 its smallest id to each other member, so that a bucket of n members has n - 1 edges.
 Candidates are confirmed on full sets.
 
-Documents with equal sets are one node from the start. A star misses the link of
-two members that are both unlike its centre, so links between components that still
-meet in a bucket are looked for afterwards, among those members only.
+Documents with equal sets are one node from the start; only nodes are put into
+buckets. A star misses the link of two members that are both unlike its centre, so
+links between components that still meet in a bucket are looked for afterwards,
+among those members only.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import ascii_lower, materialize, worker_model
+from tallywright.llm.common import ascii_lower, discard, materialize, worker_model
 from tallywright.llm.components import connected_components
 
 WHITE = r"[\x20\x09-\x0D]+"
 BINS = 128
 #: Orders of the bins that bands are cut from.
 PERMUTATIONS = 2
-#: Chance, at most, that a pair at the threshold shares no bucket.
-MISS = 1e-4
+#: Chance that a pair at the threshold shares no bucket, if bands were independent. Both
+#: orders cut the same minima and small sets fill few bins, so the rate is higher: the
+#: tests measure it by the size of the sets and hold it below 3 in 10,000.
+MISS = 1e-6
 ATTEMPTS = 4096
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -49,7 +52,7 @@ def with_shingles(docs: DataFrame, width: int) -> DataFrame:
 
 
 def band_size(similarity: float) -> int:
-    """The most bins a band can have so that pairs at the threshold are missed with a chance of MISS at most."""
+    """The most bins a band can have so that independent bands miss pairs at the threshold with a chance of MISS at most."""
     for size in range(12, 1, -1):
         if (1 - similarity**size) ** (BINS // size * PERMUTATIONS) <= MISS:
             return size
@@ -120,9 +123,13 @@ def _sketches(size: int):
                     sets = part.column("shingles")
                     lengths = np.asarray(sets.value_lengths().fill_null(0))
                     flat = np.asarray(sets.flatten(), np.int64)
-                    mixed = _mix(flat.view(np.uint64))
                     ends = np.concatenate(([0], np.cumsum(lengths)))
-                    sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed)))  # equal sets: equal sums of hashes
+
+                    def sums(values):  # equal sets: equal sums of hashes
+                        running = np.concatenate(([np.uint64(0)], np.cumsum(values)))
+                        return pa.array((running[ends[1:]] - running[ends[:-1]]).view(np.int64))
+
+                    mixed = _mix(flat.view(np.uint64))
                     keys = band_keys(sketch(flat, lengths), size)
                     listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
                     yield pa.RecordBatch.from_arrays(
@@ -130,24 +137,27 @@ def _sketches(size: int):
                             part.column("doc_id"),
                             part.column("row_hash"),
                             pa.array(lengths.astype(np.int64)),
-                            pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)),
+                            sums(mixed),
+                            sums(_mix(mixed + np.uint64(0x9E3779B97F4A7C15))),
                             listed,
                         ],
-                        ["doc_id", "row_hash", "n_shingles", "node", "bands"],
+                        ["doc_id", "row_hash", "n_shingles", "sum1", "sum2", "bands"],
                     )
 
     return run
 
 
-def _full_sets(nodes: DataFrame, docs: DataFrame, carriers: DataFrame, width: int) -> DataFrame:
+def _full_sets(nodes: DataFrame, docs: DataFrame, carriers: DataFrame, width: int, repeated: bool) -> DataFrame:
     """node, shingles of each of ``nodes``, from one document with that set.
 
-    carriers: node, doc_id, row_hash of that document.
+    carriers: node, doc_id, row_hash of that document. repeated: rows of docs repeat
+    doc_id and text.
     """
     wanted = nodes.join(carriers, "node").alias("w")
     texts = docs.withColumn("row_hash", F.xxhash64("text")).alias("d")
     found = texts.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.row_hash") == F.col("w.row_hash")))
-    shingled = with_shingles(found.select(F.col("node").alias("doc_id"), "d.text"), width)
+    found = found.select(F.col("node").alias("doc_id"), "d.text")
+    shingled = with_shingles(found.dropDuplicates(["doc_id"]) if repeated else found, width)
     return materialize(shingled.withColumnRenamed("doc_id", "node"), "sets")
 
 
@@ -190,7 +200,8 @@ def _missed_links(members: DataFrame, links: DataFrame, found: DataFrame, sets_o
     rest = materialize(apart(found), "apart")
     sets = sets_of(rest.select("node").distinct())
     own = materialize(_own_shingles(sets), "own")
-    rest = rest.join(own, "node")
+    # a set with more of its own than the similarity allows is linked with nothing
+    rest = rest.join(own, "node").where((F.col("n_shingles") - F.col("own")) * 100 >= F.col("n_shingles") * percent)
     centres = materialize(rest.groupBy("key").agg(F.min(F.struct("own", "node")).alias("c")).select("key", F.col("c.node").alias("centre")), "centres")
     spokes = rest.join(centres, "key").select("centre", "node").distinct()
     x, y = sets.alias("x"), sets.alias("y")
@@ -204,7 +215,7 @@ def _missed_links(members: DataFrame, links: DataFrame, found: DataFrame, sets_o
     )
     more = measured.where(F.col("linked") & (F.col("centre") != F.col("node"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = materialize(links.union(more), "links")
-    found = connected_components(links)
+    found = materialize(connected_components(links), "found")
 
     rest = apart(found).join(own, "node").join(centres, "key").join(measured.drop("linked"), ["centre", "node"])
     # members of one bucket have one centre: by centre each pair comes once for many buckets
@@ -218,7 +229,8 @@ def _missed_links(members: DataFrame, links: DataFrame, found: DataFrame, sets_o
     more = materialize(_confirm(pairs, sets, percent), "links")
     if more.limit(1).count():
         links = links.union(more)
-        found = connected_components(links)
+        found = materialize(connected_components(links), "found")
+    discard(sets, own, centres, measured, pairs)
     return links, found
 
 
@@ -226,50 +238,59 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """Component of every document under links of Jaccard similarity >= percent / 100.
 
     docs: doc_id, text; further columns are ignored. Documents without words (null,
-    empty or blank) are linked with nothing. Rows with equal sets are linked, also
-    those that repeat a doc_id. A null doc_id takes part in links but never names a
-    component; where no other id is reachable its component is null and it is kept.
-    An empty table gives an empty result.
-
-    Returns doc_id, row_hash, n_shingles, component_id, kept (doc_id = component_id).
+    empty or blank) are linked with nothing and kept. Rows with equal sets (equal
+    size and two equal 64-bit sums of hashes) are linked, also those that repeat a
+    doc_id. A null doc_id takes part in links but never names a component where
+    another id is reachable. Of each component the document with its smallest doc_id
+    is kept, of several with that doc_id the one with the smallest row_hash; rows
+    that repeat both are one document and share its fate. An empty table gives an
+    empty result.
+
+    Returns doc_id, row_hash (hash of the text), n_shingles, component_id, kept.
     """
     base = docs.select("doc_id", "text")
     shingled = with_shingles(base.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("row_hash"))), width)
     rows = materialize(
         shingled.select("doc_id.doc_id", "doc_id.row_hash", "shingles").mapInArrow(
-            _sketches(band_size(percent / 100)), "doc_id long, row_hash long, n_shingles long, node long, bands array<long>"
+            _sketches(band_size(percent / 100)), "doc_id long, row_hash long, n_shingles long, sum1 long, sum2 long, bands array<long>"
         ),
         "sketches",
     )
-    sets = rows.where("n_shingles > 0")
-    buckets = sets.select(F.explode("bands").alias("key"), "node", "n_shingles")
+    same_set = ["n_shingles", "sum1", "sum2"]
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash")  # null ids last
+    found_once = rows.where("n_shingles > 0").groupBy(*same_set).agg(F.min(first).alias("carrier"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
+    nodes = materialize(found_once.select(F.monotonically_increasing_id().alias("node"), *same_set, "carrier", "bands", "rows"), "nodes")
+    many = nodes.where("rows > 1").select(*same_set)
+    repeats = rows.join(many, same_set, "left_semi").groupBy("doc_id", "row_hash").count().where("count > 1")
+    repeated = bool(repeats.limit(1).count())
+
+    buckets = nodes.select(F.explode("bands").alias("key"), "node", "n_shingles")
     shared = materialize(
         buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").select("key", "centre"), "buckets"
     )
-    members = materialize(buckets.join(shared, "key").select("key", "node", "n_shingles", "centre").distinct(), "members")
+    members = materialize(buckets.join(shared, "key").select("key", "node", "n_shingles", "centre"), "members")
     sizes = members.where("node = centre").select(F.col("node").alias("centre"), F.col("n_shingles").alias("centre_n")).distinct()
     close = F.least("n_shingles", "centre_n") * 100 >= F.greatest("n_shingles", "centre_n") * percent
     stars = materialize(
         members.where("node <> centre").select("centre", "node", "n_shingles").distinct().join(sizes, "centre").where(close).select(F.col("centre").alias("a"), F.col("node").alias("b")),
         "stars",
     )
-    carriers = sets.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("c")).select("node", "c.doc_id", "c.row_hash")
+    carriers = nodes.select("node", "carrier.doc_id", "carrier.row_hash")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        return _full_sets(nodes, base, carriers, width)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _full_sets(wanted, base, carriers, width, repeated)
 
     ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    links = materialize(_confirm(stars, sets_of(ends), percent), "links")
-    links, found = _missed_links(members, links, connected_components(links), sets_of, percent)
-
-    label = F.coalesce("component", "node").alias("component")
-    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("first")).join(found.withColumnRenamed("id", "node"), "node", "left").select("node", "first", label)
-    named = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = nodes.select("node", "component").join(named, "component").select("node", "component_id")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return (
-        rows.drop("bands")
-        .join(of_node, "node", "left")
-        .select("doc_id", "row_hash", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    )
+    sets = sets_of(ends)
+    links = materialize(_confirm(stars, sets, percent), "links")
+    discard(sets, shared)
+    links, found = _missed_links(members, links, materialize(connected_components(links), "found"), sets_of, percent)
+    discard(members, stars)
+
+    labelled = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select(*same_set, "carrier", F.coalesce("component", "node").alias("component"))
+    named = labelled.groupBy("component").agg(F.min("carrier").alias("best"))
+    of_set = labelled.join(named, "component").select(*same_set, "best")
+    wordy = rows.where("n_shingles > 0").drop("bands").join(of_set, same_set)
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_hash") == F.col("best.row_hash"))
+    wordy = wordy.select("doc_id", "row_hash", "n_shingles", F.col("best.doc_id").alias("component_id"), is_best.alias("kept"))
+    return wordy.union(rows.where("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True)))
