@@ -66,21 +66,6 @@ def str13(spark, sf_dir):
     return shared.where("count >= 2").select("a_key", "b_name", q4(F.col("count") / F.col("n")).alias("score"))
 
 
-@R.query("str16_commercial_record", "SELECT p_partkey, CASE WHEN p_size % 12 = 0 THEN 12 ELSE 1 END AS pack, CASE WHEN p_size % 12 = 0 THEN 'TEXT' ELSE 'UOM' END AS basis FROM part")
-def str16(spark, sf_dir):
-    """A pack named in the text overrides the unit's."""
-    text = F.when(F.col("p_size") % 12 == 0, F.concat(F.col("p_name"), F.lit(" by the dozen"))).otherwise(F.col("p_name"))
-    pack = specs.dozens(text)
-    return read(spark, sf_dir, "part").select("p_partkey", pack.cast("int").alias("pack"), F.when(pack > 1, "TEXT").otherwise("UOM").alias("basis"))
-
-
-@R.query("str20_specifications", "SELECT p_partkey, p_size * 1024.0 AS gb, CASE WHEN p_size * 1000.0 BETWEEN 10 AND 1000000 THEN p_size * 1000.0 END AS watts FROM part")
-def str20(spark, sf_dir):
-    """Storage and power from text with units converted."""
-    text = F.concat(F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit(" TB, "), F.col("p_size").cast("string"), F.lit(" kW"))
-    return read(spark, sf_dir, "part").select("p_partkey", specs.storage_gb(text).alias("gb"), specs.power_watts(text).alias("watts"))
-
-
 @R.query(
     "rrk2_cosine_rerank",
     "SELECT q, c FROM (SELECT a.vec_id AS q, b.vec_id AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000 + 0.500001) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE k = 1",

@@ -26,17 +26,6 @@ def str1(spark, sf_dir):
     return _docs(spark, sf_dir, "part").select("p_partkey", F.array_join(T.normalised(F.split("p_name", " ")), "|").alias("skills"))
 
 
-@R.query(
-    "str2_skill_match",
-    f"""SELECT p_partkey, n, {s4('CASE WHEN n = 0 THEN 0 ELSE n / 3.0 END')} AS ratio FROM (SELECT p_partkey, len(list_filter(['ring', 'all', 'blueish'], lambda r: len(list_filter(string_split(lower(p_name), ' '), lambda s: contains(s, r) OR contains(r, s))) > 0)) AS n FROM part)""",
-)
-def str2(spark, sf_dir):
-    """Required skills that contain, or are contained in, a skill."""
-    n = F.size(T.matched_skills(F.array(*[F.lit(w) for w in ("ring", "all", "blueish")]), F.split(F.lower("p_name"), " ")))
-    return _docs(spark, sf_dir, "part").select("p_partkey", n.alias("n"), (F.floor(n / 3 * 10000 + 0.500001) / 10000).alias("ratio"))
-
-
-R.sql("str3_interest_share", "SELECT doc_id, (CASE WHEN instr(lower(text), 'the') > 0 THEN 1 ELSE 0 END + CASE WHEN instr(lower(text), 'und') > 0 THEN 1 ELSE 0 END + CASE WHEN instr(lower(text), 'que') > 0 THEN 1 ELSE 0 END) AS found FROM {documents}")
 
 
 @R.query("str4_token_sets", "SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(replace(text, 'ß', 'ss')), '[A-Z0-9]+'))), ' ') AS tokens FROM benchmark")
@@ -89,17 +78,8 @@ def str11(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]+)"), 1))), " ").alias("numbers"))
 
 
-R.sql("str14_uom_canonical", "SELECT row_key, CASE uom WHEN 'EA' THEN 'UNIT' WHEN 'BOX' THEN 'PACK' WHEN 'CASE' THEN 'PACK' ELSE 'BUNDLE' END AS kind, CASE uom WHEN 'EA' THEN 1 WHEN 'BOX' THEN 10 WHEN 'CASE' THEN 24 ELSE 6 END AS pack FROM {catalog}")
-
-
-@R.query("str15_pack_size", "SELECT p_partkey, CASE WHEN n BETWEEN 1 AND 500 THEN n ELSE 1 END AS pack FROM (SELECT p_partkey, TRY_CAST(regexp_extract('pack of ' || p_size || ' ' || p_name, 'pack of ([0-9]+)', 1) AS INT) AS n FROM part)")
-def str15(spark, sf_dir):
-    """Pack size from text by an ordered list of patterns."""
-    described = F.concat(F.lit("pack of "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name"))
-    return _docs(spark, sf_dir, "part").select("p_partkey", T.pack_size(described).alias("pack"))
 
 
-R.sql("str18_scope_type", "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' AND p_type = 'PROMO' THEN 'BUNDLE' WHEN p_type = 'LARGE' THEN 'SYSTEM' WHEN p_name LIKE '%bolt%' THEN 'PART' ELSE 'ITEM' END AS scope FROM {part}")
 R.sql("str19_product_key", "SELECT row_key, concat(code, '|', upper(replace(model, ' ', '_')), '|', uom) AS product_key, CASE WHEN length(model) > 8 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM {catalog}")
 R.sql("str21_stratified_identity", "SELECT row_key, CASE WHEN family = 'STANDARD' THEN concat(code, '|GENERIC|', replace(upper(model), ' ', '_'), '|', uom) ELSE concat(code, '|', model, '|', uom) END AS strat_key FROM {catalog}")
 
@@ -117,8 +97,6 @@ R.sql("str25_digits", "SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '') AS
 R.sql("str26_target_price", "SELECT doc_id, text RLIKE '(?i)(target|benchmark) price' AS found FROM {documents}", "SELECT doc_id, regexp_matches(text, '(?i)(target|benchmark) price') AS found FROM {documents}")
 
 R.sql("dat1_weekend", "SELECT o_orderkey, weekday(o_orderdate) >= 5 AS weekend FROM {orders}", "SELECT o_orderkey, isodow(o_orderdate) >= 6 AS weekend FROM {orders}")
-R.sql("dat2_availability_rule", "SELECT o_orderkey, CASE WHEN instr(lower(o_orderpriority), 'urgent') > 0 THEN true WHEN weekday(o_orderdate) >= 5 THEN instr(lower(o_orderpriority), 'low') > 0 ELSE o_orderpriority <> '5-LOW' END AS free FROM {orders}", "SELECT o_orderkey, CASE WHEN instr(lower(o_orderpriority), 'urgent') > 0 THEN true WHEN isodow(o_orderdate) >= 6 THEN instr(lower(o_orderpriority), 'low') > 0 ELSE o_orderpriority <> '5-LOW' END AS free FROM {orders}")
-R.sql("dat3_availability_score", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0E0 WHEN weekday(o_orderdate) >= 5 AND o_orderpriority = '2-HIGH' THEN 1.0E0 ELSE 0.5E0 END AS score FROM {orders}", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0E0 WHEN isodow(o_orderdate) >= 6 AND o_orderpriority = '2-HIGH' THEN 1.0E0 ELSE 0.5E0 END AS score FROM {orders}")
 R.sql("dat4_elapsed", f"SELECT row_key, greatest(datediff(DATE '2002-01-01', d), 0) AS days, {s4('datediff(DATE ' + chr(39) + '2002-01-01' + chr(39) + ', d) / 365.25E0')} AS years, {s4('ln(datediff(DATE ' + chr(39) + '2002-01-01' + chr(39) + ', d) + 1)')} AS log_days FROM {{catalog}}",
       f"SELECT row_key, greatest(date_diff('day', d, DATE '2002-01-01'), 0) AS days, {s4('date_diff(' + chr(39) + 'day' + chr(39) + ', d, DATE ' + chr(39) + '2002-01-01' + chr(39) + ') / 365.25E0')} AS years, {s4('ln(date_diff(' + chr(39) + 'day' + chr(39) + ', d, DATE ' + chr(39) + '2002-01-01' + chr(39) + ') + 1)')} AS log_days FROM {{catalog}}")
 R.sql("dat5_recency_buckets", "SELECT CASE WHEN days <= 180 THEN 1 WHEN days <= 365 THEN 2 WHEN days <= 730 THEN 3 WHEN days <= 1095 THEN 4 WHEN days <= 1825 THEN 5 ELSE 6 END AS bucket, count(*) AS n FROM {pool} GROUP BY 1")
@@ -155,8 +133,6 @@ def mth5(spark, sf_dir):
 
 
 R.sql("mth6_quantity_tiers", "SELECT row_key, CASE WHEN qty <= 5 THEN 'SMALL' WHEN qty <= 50 THEN 'MEDIUM' WHEN qty <= 500 THEN 'LARGE' ELSE 'BULK' END AS tier FROM {catalog}")
-R.sql("mth7_pack_ratio", f"SELECT q, pool_rank, {s4('c_qty / q_qty')} AS ratio, {s4('least(1.0, abs(ln(c_qty / q_qty)) / ln(3))')} AS severity, {s4('1 / (1 + abs(floor(ln(c_qty)) - floor(ln(q_qty))))')} AS consistency FROM {{pool}}")
-R.sql("mth8_base_price", f"SELECT row_key, {s4('CASE WHEN uom = ' + chr(39) + 'CASE' + chr(39) + ' THEN price / 24 WHEN uom = ' + chr(39) + 'BOX' + chr(39) + ' THEN price / 10 ELSE price END')} AS base FROM {{catalog}}")
 R.sql("mth9_spec_ratio", "SELECT q, pool_rank, CASE WHEN abs(c_qty - q_qty) / greatest(q_qty, 0.0001) <= 0.15 THEN 1.0E0 WHEN abs(c_qty - q_qty) / greatest(q_qty, 0.0001) > 0.35 THEN 0.0E0 ELSE 0.5E0 END AS state FROM {pool}")
 R.sql("mth10_graded_gain", "SELECT q, rank, CASE WHEN ape <= 0.05 THEN 4 WHEN ape <= 0.10 THEN 3 WHEN ape <= 0.20 THEN 2 WHEN ape <= 0.35 THEN 1 ELSE 0 END AS gain FROM (SELECT q, rank, abs(c_price - q_price) / q_price AS ape FROM {top10}) t")
 R.sql("mth11_scale_distance", f"SELECT q, rank, {s4('least(abs(r - ln(2)), abs(r - ln(3)), abs(r - ln(5)), abs(r - ln(10)), abs(r - ln(12)), abs(r - ln(24)), abs(r - ln(100)))')} AS off FROM (SELECT q, rank, abs(ln(c_price / q_price)) AS r FROM {{top10}}) t")
@@ -170,19 +146,11 @@ R.sql("jsn2_unwrapping", "SELECT event_id, coalesce(get_json_object(props, '$.re
 R.sql("jsn3_payload", "SELECT s_suppkey, to_json(named_struct('key', s_suppkey, 'name', s_name)) AS payload FROM {supplier}", "SELECT s_suppkey, CAST(json_object('key', s_suppkey, 'name', s_name) AS VARCHAR) AS payload FROM {supplier}")
 
 # ---- scoring and rules
-R.sql("sco1_event_score", f"SELECT c_custkey, n_nationkey, {s4('100 * least(1.0, greatest(0.0, 0.40 * sem + 0.30 * skill + 0.15 * interest + 0.10 * exp(-km / 15) + 0.05 * 0.5))')} AS score FROM (SELECT c_custkey, n_nationkey, (c_custkey % 10) / 10.0E0 AS sem, CASE WHEN c_mktsegment LIKE 'A%' THEN 1.0E0 ELSE 0.5E0 END AS skill, 0.5E0 AS interest, abs(c_nationkey - n_nationkey) * 10.0E0 AS km FROM {{customer}} JOIN {{nation}} ON abs(c_nationkey - n_nationkey) <= 2) t")
 W = "CASE c_mktsegment WHEN 'MACHINERY' THEN 0.7E0 WHEN 'AUTOMOBILE' THEN 0.6E0 ELSE 0.5E0 END"
-R.sql("sco2_business_score", f"SELECT c_custkey, {s4('least(1.0, greatest(0.1, 0.3 * exp(-c_nationkey / 35.0) + 0.4 * CASE WHEN c_acctbal > 1 THEN least(1.0, c_acctbal / 10000) ELSE 0.85 END + 0.3 * CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.7 END))')} AS business FROM {{customer}}")
-R.sql("sco3_final_score", f"SELECT c_custkey, {s4(f'{W} * sim + (1 - {W}) * biz')} AS final FROM (SELECT c_custkey, c_mktsegment, (c_custkey % 100) / 100.0E0 AS sim, least(1.0E0, greatest(0.1E0, c_acctbal / 10000)) AS biz FROM {{customer}}) t")
-R.sql("sco4_breakdown", "SELECT c_custkey, least(99, greatest(60, cast(floor(c_acctbal / 100) AS int))) AS shown, CASE WHEN c_acctbal > 0 THEN 92 ELSE 78 END AS verified FROM {customer}")
 RULE = """SELECT k, c_custkey FROM (SELECT k, c_custkey, near, sum(near) OVER (PARTITION BY k) AS n_near, count(*) OVER (PARTITION BY k) AS n FROM (
  SELECT k, c_custkey, CASE WHEN c_acctbal > 2000 THEN 1 ELSE 0 END AS near FROM (SELECT k, c_custkey, c_acctbal, skill, sum(skill) OVER (PARTITION BY k) AS n_skill, count(*) OVER (PARTITION BY k) AS n FROM (
  SELECT c_nationkey AS k, c_custkey, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS skill FROM {customer}) a) b WHERE skill = 1 OR n <= 3 OR n_skill = 0) c) d WHERE near = 1 OR n <= 3 OR n_near = 0"""
-R.sql("rul1_rule_chain", RULE)
 R.sql("rul2_verified", "SELECT c_custkey FROM {customer} WHERE c_acctbal > 0")
-R.sql("fbk1_fallback_score", "SELECT p_partkey, least(98, greatest(65, 60 + 15 * (CASE WHEN p_name LIKE '%ring%' THEN 1 ELSE 0 END + CASE WHEN p_name LIKE '%small%' THEN 1 ELSE 0 END) + CASE WHEN p_type = 'PROMO' THEN 15 ELSE 0 END)) AS score FROM {part}")
-R.sql("fbk2_volunteer_fallback", "SELECT c_custkey, least(99, greatest(68, 65 + 12 * CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END + CASE WHEN c_nationkey < 5 THEN 10 ELSE 0 END + CASE WHEN c_acctbal > 0 THEN 5 ELSE 0 END)) AS score FROM {customer}")
-R.sql("exp1_reason", "SELECT c_custkey, concat('Matches ', lower(c_mktsegment), CASE WHEN c_acctbal > 5000 THEN ' with a strong record' ELSE ' with room to grow' END) AS reason FROM {customer}")
 R.sql(
     "fg1_provenance_features",
     "SELECT q, pool_rank, CASE WHEN q_model = c_model THEN 1 ELSE 0 END AS from_b, 1 AS from_i, 1 + CASE WHEN q_model = c_model THEN 1 ELSE 0 END AS channels FROM {pool}",
