@@ -25,11 +25,6 @@ R.sql(
 )
 R.sql("agg12_pool_distribution", f"""SELECT q, count(*) AS n, {q4('median(c_price)')} AS med, {q4('stddev_pop(c_price)')} AS sd, {q4('min(c_price)')} AS low, {q4('max(c_price)')} AS high FROM {{pool}} GROUP BY q""")
 R.sql("cfi1_interval", f"""SELECT q, {q4('greatest(0.01, c_price * exp(-1.5404))')} AS low, {q4('c_price * exp(1.5404)')} AS high FROM {{top10}} WHERE rank = 1""")
-R.sql(
-    "rel1_reliability",
-    """SELECT q, CASE WHEN n < 3 OR spread > 0.85 THEN 'LOW' WHEN n >= 5 AND spread <= 0.35 AND margin >= 0 AND days <= 1095 THEN 'HIGH' ELSE 'MEDIUM' END AS reliability
- FROM (SELECT q, rank, days, count(*) OVER (PARTITION BY q) AS n, stddev_pop(c_lp) OVER (PARTITION BY q) AS spread, score - lead(score, 1, 0.0) OVER (PARTITION BY q ORDER BY rank) AS margin FROM {top10}) t WHERE rank = 1""",
-)
 R.sql(
     "cau1_causality_guard",
     "SELECT count(*) AS pairs, coalesce(sum(CASE WHEN c_d >= q_d THEN 1 ELSE 0 END), 0) AS violations FROM {pool}",
@@ -66,7 +61,6 @@ R.sql("win10_duplicate_texts", f"""SELECT q, c_text, count(*) AS n, {q4('median(
 R.sql("win11_median_distance", f"""SELECT q, rank, {q4('1 / (1 + abs(c_price - med) / med)')} AS near FROM (SELECT q, rank, c_price, median(c_price) OVER (PARTITION BY q) AS med FROM {{top10}}) t""")
 R.sql("win12_top3_median_distance", f"""SELECT q, {q4('median(abs(c_lp - lp1))')} AS dist FROM (SELECT q, rank, c_lp, first_value(c_lp) OVER (PARTITION BY q ORDER BY rank) AS lp1 FROM {{top10}}) t WHERE rank <= 3 GROUP BY q""")
 R.sql("win13_positional", f"""SELECT q, pool_rank, {q4('pool_rank / n')} AS share FROM (SELECT q, pool_rank * 1.0E0 AS pool_rank, count(*) OVER (PARTITION BY q) AS n FROM {{pool}}) t""")
-R.sql("win14_recent_frame", f"""SELECT q, count(*) AS n_365, {q4('median(c_price)')} AS med_365 FROM {{pool}} WHERE days <= 365 GROUP BY q""")
 R.sql("win15_rank_margin", f"""SELECT q, {q4('score - next')} AS margin FROM (SELECT q, rank, score, lead(score) OVER (PARTITION BY q ORDER BY rank) AS next FROM {{top10}}) t WHERE rank = 1 AND next IS NOT NULL""")
 
 # ---- evaluation
@@ -94,12 +88,6 @@ R.sql(
     f"""SELECT {q4('(sum(CASE WHEN hit = 1 THEN r ELSE 0 END) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * (count(*) - sum(hit)) * 1.0)')} AS auc, {q4('corr(score, ape)')} AS corr
  FROM (SELECT score, ape, hit, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM (SELECT score, {APE} AS ape, CASE WHEN {HIT10} THEN 1 ELSE 0 END AS hit FROM {{top10}} WHERE rank = 1) t) u""",
 )
-R.sql(
-    "agg18_gate_table",
-    f"""SELECT threshold, sum(CASE WHEN pass = 1 AND hit = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN pass = 1 AND hit = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN pass = 0 AND hit = 1 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN pass = 0 AND hit = 0 THEN 1 ELSE 0 END) AS tn
- FROM (SELECT threshold, hit, CASE WHEN evidence >= threshold THEN 1 ELSE 0 END AS pass FROM (SELECT q, {q4('max(CASE WHEN rank = 1 THEN score END) - stddev_pop(c_lp)')} AS evidence, max(CASE WHEN rank = 1 AND {HIT10} THEN 1 ELSE 0 END) AS hit FROM {{top10}} GROUP BY q) e
- CROSS JOIN (SELECT -1.0 + 0.25 * id AS threshold FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(id)) t) u GROUP BY threshold""",
-)
 R.sql(
     "agg19_cohort_effect",
     f"""SELECT {q4('avg(CASE WHEN hit = 1 THEN spread END)')} AS mean_hit, {q4('avg(CASE WHEN hit = 0 THEN spread END)')} AS mean_miss,
@@ -153,16 +141,6 @@ R.sql(
     f"""SELECT q, c, total FROM (SELECT q, c, total, row_number() OVER (PARTITION BY q ORDER BY total DESC, rank) AS k FROM (
  SELECT q, c, rank, {q4('0.40 * score + 0.15 * attr + 0.30 * near + 0.15 * exp(-days / 730.0E0)')} AS total FROM (SELECT q, c, rank, days, score, {ATTR} AS attr, 1 / (1 + abs(c_price - median(c_price) OVER (PARTITION BY q)) / median(c_price) OVER (PARTITION BY q)) AS near FROM {{top10}}) t) u) v WHERE k = 1""",
 )
-R.sql("gat1_evidence_gate", f"""SELECT q, evidence, CASE WHEN evidence >= 0.7 THEN 'STRONG' WHEN evidence >= 0 THEN 'PASS' WHEN evidence >= -1 THEN 'WEAK' ELSE 'FAIL' END AS gate FROM (SELECT q, {q4('max(CASE WHEN rank = 1 THEN score END) - stddev_pop(c_lp)')} AS evidence FROM {{top10}} GROUP BY q) t""")
-R.sql(
-    "cnf1_confidence",
-    f"""SELECT q, {q4('0.30 * CASE WHEN n = 1 THEN 0.5 ELSE exp(-2.5 * spread) END + 0.20 * CASE WHEN next IS NULL THEN 0.8 ELSE tanh((score - next) / 0.5) END + 0.15 * same + 0.10 * exp(-days / 730.0E0) + 0.10 * least(1.0, n / 5.0)')} AS confidence
- FROM (SELECT q, rank, days, score, lead(score) OVER (PARTITION BY q ORDER BY rank) AS next, count(*) OVER (PARTITION BY q) AS n, stddev_pop(c_lp) OVER (PARTITION BY q) AS spread, CASE WHEN q_model = c_model THEN 1.0E0 ELSE 0.0E0 END AS same FROM {{top10}}) t WHERE rank = 1""",
-)
-R.sql(
-    "ovr1_override",
-    """SELECT q, CASE WHEN alt >= 0.55 AND alt - s1 >= 0.08 THEN 'OVERRIDE' ELSE 'KEEP' END AS decision FROM (SELECT q, max(CASE WHEN rank = 1 THEN sim END) AS s1, max(CASE WHEN rank > 1 THEN sim END) AS alt FROM (SELECT q, rank, floor((0.5 * score + 0.5 * least(q_qty, c_qty) / greatest(q_qty, c_qty)) * 10000 + 0.500001) / 10000 AS sim FROM {top10}) s GROUP BY q) t WHERE alt IS NOT NULL""",
-)
 DIV = """SELECT q, c, place FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN nth <= 2 THEN 0 ELSE 1 END, r) AS place FROM (
  SELECT q, c, r, row_number() OVER (PARTITION BY q, {key} ORDER BY r) AS nth FROM (SELECT q, c, {key}, row_number() OVER (PARTITION BY q ORDER BY score DESC, pool_rank) AS r FROM {{pool}}) t) u) v WHERE place <= 10"""
 R.sql("div1_two_per_order", DIV.format(key="c_po"))

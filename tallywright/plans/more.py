@@ -27,8 +27,6 @@ R.sql("src6_point_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM {ord
 R.sql("srt2_similarity_order", "SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY score DESC, pool_rank) AS place FROM {pool}")
 R.sql("srt5_pool_order", "SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS place FROM {top10}")
 R.sql("srt8_market_order", "SELECT code, vendor, n FROM (SELECT code, vendor, n, row_number() OVER (PARTITION BY code ORDER BY n DESC, vendor) AS k FROM (SELECT code, vendor, count(*) AS n FROM {catalog} GROUP BY code, vendor) t) u WHERE k <= 5")
-R.sql("cha_exact_number", "SELECT q, c, pool_rank FROM (SELECT q.row_key AS q, c.row_key AS c, row_number() OVER (PARTITION BY q.row_key ORDER BY c.d DESC, c.row_key DESC) AS pool_rank FROM {catalog} q JOIN {catalog} c ON q.code = c.code AND q.model = c.model AND q.uom = c.uom AND q.qty = c.qty AND c.d < q.d WHERE q.d >= DATE '2001-01-01') t WHERE pool_rank <= 30")
-R.sql("chh_family_rank", f"SELECT q, c FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY blend DESC, pool_rank) AS k FROM (SELECT q, c, pool_rank, score, {s4('0.75 * score + 0.25 * CASE WHEN q_uom = c_uom THEN 1 ELSE 0 END')} AS blend FROM {{pool}}) t) u WHERE k <= 15")
 R.sql("sim1_similarity_search", f"SELECT q, n_match, CASE WHEN n_match > 0 THEN 'MATCH' WHEN best >= 0.35 THEN 'WEAK' ELSE 'NO_MATCH' END AS status FROM (SELECT q, sum(CASE WHEN sim >= 0.50 THEN 1 ELSE 0 END) AS n_match, max(sim) AS best FROM (SELECT q, {s4('0.60 * score + 0.15 * CASE WHEN q_uom = c_uom THEN 1 ELSE 0 END + 0.10 * CASE WHEN q_code = c_code THEN 1 ELSE 0 END + 0.15 * CASE WHEN q_model = c_model THEN 1 ELSE 0 END')} AS sim FROM {{pool}}) t GROUP BY q) u")
 R.sql("rrk5_external_scores", "SELECT q, c FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY floor(c_qty) DESC, rank) AS k FROM {top10}) t WHERE k = 1")
 R.sql("agg26_mcnemar_counts", f"SELECT sum(CASE WHEN a = 1 AND b = 0 THEN 1 ELSE 0 END) AS lost, sum(CASE WHEN a = 0 AND b = 1 THEN 1 ELSE 0 END) AS won FROM (SELECT q, max(CASE WHEN rank = 1 AND {HIT10} THEN 1 ELSE 0 END) AS a, max(CASE WHEN rank = 2 AND {HIT10} THEN 1 ELSE 0 END) AS b FROM {{top10}} GROUP BY q) t")

@@ -68,10 +68,6 @@ def _top(name: str, keys: list[str], n: int) -> None:
 
 
 _top("joi7_latest_prior", ["model", "uom"], 10)
-_top("chb_brand_model", ["code", "model", "uom"], 30)
-_top("chc_model_family", ["family", "model"], 15)
-_top("chi_commodity_uom", ["code", "uom"], 5)
-_top("chd_numeric_spec", ["family", "uom", "model"], 15)
 
 DAILY = """SELECT d, {w} AS w, {m} AS mean FROM (SELECT q.d, sum(power(2, -date_diff('day', c.d, q.d) / 365.0) * c.n) AS sw, sum(power(2, -date_diff('day', c.d, q.d) / 365.0) * c.x) AS sx
  FROM (SELECT DISTINCT d FROM catalog WHERE d >= DATE '2001-01-01') q JOIN (SELECT d, count(*) AS n, sum(lp) AS x FROM catalog GROUP BY d) c ON c.d < q.d GROUP BY q.d)"""
@@ -98,46 +94,8 @@ def agg6_decayed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("code", "model", "d", "n_prior", q4(F.col("w")).alias("w"), q4(F.col("mean")).alias("mean"), variance.alias("variance"))
 
 
-LEVEL = """(SELECT {k}, d, sum(w * x) / sum(w * n) AS mean, sum(w * n) AS w FROM (SELECT {qk}, q.d, c.n, c.x, power(2, -date_diff('day', c.d, q.d) / 365.0) AS w
- FROM (SELECT DISTINCT {k}, d FROM catalog WHERE d >= DATE '2001-01-01') q JOIN (SELECT {k}, d, count(*) AS n, sum(lp) AS x FROM catalog GROUP BY ALL) c ON {on} AND c.d < q.d) GROUP BY ALL)"""
-
-
-def _level(keys: list[str]) -> str:
-    return LEVEL.format(k=", ".join(keys), qk=", ".join(f"q.{k}" for k in keys), on=" AND ".join(f"q.{k} = c.{k}" for k in keys))
-
-
-@R.query(
-    "agg9_shrinkage_chain",
-    f"""SELECT row_key, {s4('CASE WHEN m.mean IS NULL THEN p2 ELSE m.w / (m.w + 8) * m.mean + (1 - m.w / (m.w + 8)) * p2 END')} AS posterior FROM (
- SELECT k.*, CASE WHEN f.mean IS NULL THEN p1 ELSE f.w / (f.w + 3) * f.mean + (1 - f.w / (f.w + 3)) * p1 END AS p2 FROM (SELECT k.*, u.mean AS p1 FROM catalog k LEFT JOIN {_level(['code', 'uom'])} u ON k.code = u.code AND k.uom = u.uom AND k.d = u.d WHERE k.d >= DATE '2001-01-01') k
- LEFT JOIN {_level(['family', 'uom'])} f ON k.family = f.family AND k.uom = f.uom AND k.d = f.d) k LEFT JOIN {_level(['code', 'model'])} m ON k.code = m.code AND k.model = m.model AND k.d = m.d""",
-    "catalog",
-)
-def agg9_shrinkage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posterior log price of each query: commodity and unit, then family and unit, then identity."""
-    rows = catalog(spark, sf_dir)
-    levels = [(["code", "uom"], "u"), (["family", "uom"], "f"), (["code", "model"], "m")]
-    out = rows.where(asked()).select("row_key", "d", "code", "family", "uom", "model")
-    for keys, name in levels:
-        stats = decayed_stats(rows, asked(), keys, 365.0).select(*keys, "d", F.col("mean").alias(f"{name}_mean"), F.col("w").alias(f"{name}_w"))
-        out = out.join(stats, [*keys, "d"], "left")
-    p2 = shrink(F.col("f_mean"), F.col("f_w"), F.col("u_mean"), 3)
-    return out.select("row_key", q4(shrink(F.col("m_mean"), F.col("m_w"), p2, 8)).alias("posterior"))
-
-
-R.sql(
-    "agg10_identity_stats",
-    f"""SELECT q, count(*) AS n_prior, sum(CASE WHEN days <= 365 THEN 1 ELSE 0 END) AS n_recent, {s4('median(c_price)')} AS med, {s4('least(1.0, sqrt(count(*)) / 5)')} AS confidence,
- {s4("CASE WHEN count(*) >= 5 AND stddev_pop(ln(c_qty)) > 0.15 THEN greatest(-0.60, least(0.10, regr_slope(c_lp, ln(c_qty)))) ELSE 0 END")} AS beta FROM {{pool}} WHERE q_model = c_model GROUP BY q""",
-)
 R.sql("agg7_adaptive_half_life", f"""SELECT q, {s4('CASE WHEN n <= 2 THEN 365.0 WHEN sd <= 0.0001 THEN 730.0 ELSE greatest(30.0, least(730.0, 365.0 * 0.6 / (sd + 0.1))) END')} AS half_life FROM (SELECT q, count(*) AS n, stddev_pop(c_lp) AS sd FROM {{pool}} GROUP BY q) t""")
 R.sql("sim2_weighted_price", f"""SELECT q, {s4('min(c_price)')} AS price FROM (SELECT q, c_price, sum(w) OVER (PARTITION BY q ORDER BY c_price, pool_rank ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY q) AS total FROM (SELECT q, c_price, pool_rank, floor(score * exp(-days / 730.0E0) * 1000000 + 0.5) AS w FROM {{pool}}) t) u WHERE run * 2 >= total GROUP BY q""")
-R.sql("chj_quantity_band", """SELECT q, c FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY pool_rank) AS k FROM {pool} WHERE abs(ln(greatest(c_qty, 1.0)) - ln(greatest(q_qty, 1.0))) / ln(10) <= 0.50) t WHERE k <= 10""")
-R.sql(
-    "chs_pool_cut",
-    """SELECT q, c, k FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY channels DESC, priority, c_d DESC, c DESC) AS k FROM (
- SELECT q, c, c_d, 1 + CASE WHEN q_model = c_model THEN 1 ELSE 0 END AS channels, CASE WHEN q_model = c_model THEN 2 ELSE 7 END AS priority FROM {pool}) t) u WHERE k <= 20""",
-)
 R.sql(
     "fil12_compatibility",
     """SELECT q, c FROM (SELECT *, sum(keep) OVER (PARTITION BY q) AS kept, count(*) OVER (PARTITION BY q) AS n FROM (
@@ -150,28 +108,6 @@ R.sql(
 )
 
 
-def _tagged(spark: SparkSession, sf_dir: str, keys: list[str], n: int, channel: str, priority: int) -> DataFrame:
-    pairs = latest_prior(catalog(spark, sf_dir), asked(), keys, n, ["row_key", "d"])
-    return pairs.select(F.col("q_row_key").alias("q"), F.col("c_row_key").alias("c"), F.lit(channel).alias("channel"), F.lit(priority).alias("priority"))
-
-
-CHU = [(["code", "model", "uom"], 30, "B", 2), (["family", "model"], 15, "C", 3), (["code", "uom"], 10, "I", 7)]
-
-
-@R.query(
-    "chu_channel_union",
-    "SELECT q, c, string_agg(channel, '' ORDER BY channel) AS channels, count(*) AS n, min(priority) AS priority FROM ("
-    + " UNION ALL ".join(f"SELECT q, c, '{ch}' AS channel, {p} AS priority FROM ({TOP.format(on=' AND '.join(f'q.{k} = c.{k}' for k in keys), n=n)})" for keys, n, ch, p in CHU)
-    + ") GROUP BY q, c",
-    "catalog",
-)
-def chu_channel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of channels with the channels that found each pair and the best priority."""
-    parts = [_tagged(spark, sf_dir, *c) for c in CHU]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return both.groupBy("q", "c").agg(F.array_join(F.array_sort(F.collect_set("channel")), "").alias("channels"), F.count("*").alias("n"), F.min("priority").alias("priority"))
-
-
 VECTOR = """SELECT a.vec_id AS q, b.vec_id AS c, floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000 + 0.500001) / 10000 AS sim
  FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id"""
 

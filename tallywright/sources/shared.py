@@ -1,14 +1,23 @@
-"""Fresh paths in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a temporary folder where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    """A new path under ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, under a temporary folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, label: str = "table") -> DataFrame:
+    """df written to the shared folder and read back: computed once, and not again after a lost executor."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
