@@ -1,4 +1,4 @@
-"""Units, packs, specifications, scope and market text as ordered expressions."""
+"""Tokens of market searches."""
 
 from __future__ import annotations
 
@@ -9,40 +9,6 @@ from pyspark.sql import functions as F
 STOPWORDS = ("a", "an", "and", "for", "from", "in", "of", "on", "or", "the", "to", "with")
 
 
-def number_before(text: Column, unit: str, low: float, high: float) -> Column:
-    """The number before a unit where it lies in [low, high]; else null."""
-    found = F.regexp_extract(F.lower(text), rf"([0-9]+(?:\.[0-9]+)?)\s*(?:{unit})\b", 1).try_cast("double")
-    return F.when(found.between(low, high), found)
-
-
-def storage_gb(text: Column) -> Column:
-    """Storage in GB; terabytes count 1024."""
-    return F.coalesce(number_before(text, "tb", 0.1, 100) * 1024, number_before(text, "gb", 1, 100_000))
-
-
-def power_watts(text: Column) -> Column:
-    """Power in watts; kilowatts count 1000."""
-    return F.coalesce(number_before(text, "kw|kilowatts?", 0.01, 1000) * 1000, number_before(text, "w|watts?", 1, 1_000_000))
-
-
-def dozens(text: Column) -> Column:
-    """Second pack parser: dozen 12, gross 144, else a number of pieces, else 1."""
-    low = F.lower(text)
-    return F.when(low.rlike(r"\bgross\b"), 144).when(low.rlike(r"\bdozen\b"), 12).otherwise(F.coalesce(number_before(text, "pcs|pieces", 1, 500).cast("int"), F.lit(1)))
-
-
-def scope(text: Column) -> Column:
-    """Scope type by ordered patterns."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike(r"\b(bundle|kit|set)\b"), "BUNDLE")
-        .when(low.rlike(r"\b(system|rack|chassis)\b"), "SYSTEM")
-        .when(low.rlike(r"\b(spare|part|replacement)\b"), "PART")
-        .when(low.rlike(r"\b(service|install|support)\b"), "SERVICE")
-        .otherwise("ITEM")
-    )
-
-
 def market_tokens(text: Column) -> Column:
     """Distinct tokens of more than one character, without stop words."""
     clean = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")

@@ -68,9 +68,3 @@ def decayed_stats(catalog: DataFrame, is_query: Column, keys: list[str], half_li
     mean = F.col("gx") / F.col("g")
     variance = F.when(F.col("n") == 1, F.lit(0.25)).otherwise(F.greatest(F.col("gxx") / F.col("g") - mean**2, F.lit(0.01)))
     return run.select(*keys, date, F.col("n").alias("n_prior"), (F.col("g") * F.exp(-F.log(F.lit(2.0)) * day / half_life)).alias("w"), mean.alias("mean"), variance.alias("variance"))
-
-
-def shrink(own_mean: Column, own_weight: Column, parent: Column, kappa: float) -> Column:
-    """Empirical-Bayes step: own mean pulled to the parent's by weight / (weight + kappa); the parent's where own is absent."""
-    r = own_weight / (own_weight + F.lit(kappa))
-    return F.when(own_mean.isNull(), parent).when(parent.isNull(), own_mean).otherwise(r * own_mean + (1 - r) * parent)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.operators.temporal import latest_prior
+from tallywright.sources.shared import materialized
 
 #: First day of the evaluation period; earlier rows are history.
 EVAL_FROM = "2001-01-01"
@@ -109,6 +110,9 @@ class Registry:
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             frames = {n: VIEWS[n](spark, sf_dir) if n in VIEWS else read(spark, sf_dir, n) for n in named}
+            for n in named:  # a concept that is read twice is computed once
+                if n in VIEWS and body.count(f"{{{n}}}") > 1:
+                    frames[n] = materialized(frames[n], n)
             return spark.sql(body, **frames)
 
         self.queries[name] = run

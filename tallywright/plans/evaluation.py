@@ -23,7 +23,6 @@ R.sql(
  {q4('greatest(0.01, median_price * exp(-1.5404))')} AS low, {q4('median_price * exp(1.5404)')} AS high
  FROM (SELECT q, count(*) AS n, {q4('median(c_price)')} AS median_price, {q4('stddev_pop(c_lp)')} AS spread, min(days) AS days_1 FROM {{pool}} GROUP BY q)""",
 )
-R.sql("agg12_pool_distribution", f"""SELECT q, count(*) AS n, {q4('median(c_price)')} AS med, {q4('stddev_pop(c_price)')} AS sd, {q4('min(c_price)')} AS low, {q4('max(c_price)')} AS high FROM {{pool}} GROUP BY q""")
 R.sql("cfi1_interval", f"""SELECT q, {q4('greatest(0.01, c_price * exp(-1.5404))')} AS low, {q4('c_price * exp(1.5404)')} AS high FROM {{top10}} WHERE rank = 1""")
 R.sql(
     "cau1_causality_guard",
@@ -94,25 +93,6 @@ R.sql(
  {q4('(avg(CASE WHEN hit = 1 THEN spread END) - avg(CASE WHEN hit = 0 THEN spread END)) / sqrt((var_pop(CASE WHEN hit = 1 THEN spread END) + var_pop(CASE WHEN hit = 0 THEN spread END)) / 2)')} AS d
  FROM (SELECT q, stddev_pop(c_lp) AS spread, max(CASE WHEN rank = 1 AND {HIT10} THEN 1 ELSE 0 END) AS hit FROM {{top10}} GROUP BY q) t""",
 )
-R.sql(
-    "agg20_concentration",
-    f"""SELECT q, {q4('sum(share * share)')} AS hhi, {q4('max(share)')} AS top_share, count(*) AS keys, {q4('-sum(share * ln(share + 1e-12))')} AS entropy
- FROM (SELECT q, c_vendor, count(*) * 1.0E0 / sum(count(*)) OVER (PARTITION BY q) AS share FROM {{pool}} GROUP BY q, c_vendor) t GROUP BY q""",
-)
-R.sql(
-    "agg27_conformal_quantile",
-    f"""SELECT n, {q4('min(CASE WHEN k >= ceil((n + 1) * 0.8) THEN s END)')} AS qhat FROM (SELECT s, row_number() OVER (ORDER BY s) AS k, count(*) OVER () AS n FROM (SELECT abs(ln(q_price) - c_lp) AS s FROM {{top10}} WHERE rank = 1) t) u GROUP BY n""",
-)
-R.sql(
-    "agg28_interval_evaluation",
-    f"""SELECT {q4('100.0 * avg(CASE WHEN q_price >= low AND q_price <= high THEN 1.0E0 ELSE 0.0E0 END)')} AS coverage, {q4('avg(high - low)')} AS mean_width, {q4('median(high - low)')} AS median_width, sum(CASE WHEN low <= 0 THEN 1 ELSE 0 END) AS not_positive
- FROM (SELECT q_price, greatest(0.01, c_price * exp(-1.5404)) AS low, c_price * exp(1.5404) AS high FROM {{top10}} WHERE rank = 1) t""",
-)
-R.sql(
-    "agg29_repetition",
-    """SELECT sum(CASE WHEN most >= 2 THEN 1 ELSE 0 END) AS r2, sum(CASE WHEN most >= 3 THEN 1 ELSE 0 END) AS r3, sum(CASE WHEN most >= 5 THEN 1 ELSE 0 END) AS r5, sum(extra) AS redundant
- FROM (SELECT q, max(n) AS most, sum(n - 1) AS extra FROM (SELECT q, c_model, count(*) AS n FROM {pool} GROUP BY q, c_model) t GROUP BY q) u""",
-)
 R.sql(
     "agg30_ranking_metrics",
     f"""SELECT {q4('avg(p3)')} AS precision3, {q4('avg(p10)')} AS precision10, {q4('avg(rr)')} AS mrr, {q4('avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0.0 END)')} AS ndcg FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.text import token_set
 from tallywright.operators.diversity import mmr
-from tallywright.operators.temporal import decayed_stats, latest_prior, ranked_history, shrink
+from tallywright.operators.temporal import decayed_stats, latest_prior, ranked_history
 from tallywright.plans.base import COLUMNS, EVAL_FROM, Registry, catalog, pool, read
 
 R = Registry()

@@ -34,18 +34,6 @@ def str4(spark, sf_dir):
     return _docs(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(T.token_set(F.col("text"))), " ").alias("tokens"))
 
 
-@R.query(
-    "str5_token_jaccard",
-    f"""SELECT a.p_partkey AS a_key, b.s_suppkey AS b_key, {s4("len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE")} AS jaccard
- FROM (SELECT p_partkey, list_distinct(regexp_extract_all(upper(p_name || ' ' || p_type), '[A-Z0-9]+')) AS x FROM part WHERE p_size = 7) a, (SELECT s_suppkey, ['SMALL', 'RING', 'PROMO', CAST(s_nationkey AS VARCHAR)] AS y FROM supplier WHERE s_nationkey = 7) b""",
-)
-def str5(spark, sf_dir):
-    """Jaccard of token sets; a small supplier list meets the parts of one size."""
-    a = _docs(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_partkey").alias("a_key"), T.token_set(F.concat_ws(" ", "p_name", "p_type")).alias("x"))
-    b = _docs(spark, sf_dir, "supplier").where("s_nationkey = 7").select(F.col("s_suppkey").alias("b_key"), F.array(F.lit("SMALL"), F.lit("RING"), F.lit("PROMO"), F.col("s_nationkey").cast("string")).alias("y"))
-    return a.join(b).select("a_key", "b_key", (F.floor(T.jaccard(F.col("x"), F.col("y")) * 10000 + 0.500001) / 10000).alias("jaccard"))
-
-
 @R.query("str6_char_trigrams", "SELECT p_partkey, array_to_string(list_sort(list_distinct(CASE WHEN length(p_name) <= 3 THEN [p_name] ELSE list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3)) END)), '|') AS grams FROM part")
 def str6(spark, sf_dir):
     """Distinct runs of three characters."""
@@ -72,14 +60,6 @@ def str10(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.length(F.trim(clean)).alias("n"))
 
 
-@R.query("str11_number_tokens", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))), ' ') AS numbers FROM documents")
-def str11(spark, sf_dir):
-    """Distinct numbers of a text."""
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]+)"), 1))), " ").alias("numbers"))
-
-
-
-
 R.sql("str19_product_key", "SELECT row_key, concat(code, '|', upper(replace(model, ' ', '_')), '|', uom) AS product_key, CASE WHEN length(model) > 8 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM {catalog}")
 R.sql("str21_stratified_identity", "SELECT row_key, CASE WHEN family = 'STANDARD' THEN concat(code, '|GENERIC|', replace(upper(model), ' ', '_'), '|', uom) ELSE concat(code, '|', model, '|', uom) END AS strat_key FROM {catalog}")
 
@@ -103,53 +83,16 @@ R.sql("dat5_recency_buckets", "SELECT CASE WHEN days <= 180 THEN 1 WHEN days <=
 R.sql("dat6_decay_families", f"SELECT q, pool_rank, {s4('exp(-ln(2) * days / 365)')} AS half_365, {s4('exp(-ln(2) * days / 730)')} AS half_730, {s4('exp(-days / 730.0E0)')} AS fold_730, {s4('exp(-days / 365.25E0)')} AS fold_365 FROM {{pool}}")
 R.sql("dat7_epoch_day", "SELECT row_key, datediff(d, DATE '2009-01-01') AS day FROM {catalog}", "SELECT row_key, date_diff('day', DATE '2009-01-01', d) AS day FROM {catalog}")
 
-COS = "floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000 + 0.500001) / 10000"
-
-
-@R.query("mth3_cosine", f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, greatest(0.0, least(1.0, {COS})) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10")
-def mth3(spark, sf_dir):
-    """Cosine clipped to [0, 1]; zero vectors give 0."""
-    from tallywright.functions.vector import cosine
-
-    v = _docs(spark, sf_dir, "embeddings")
-    a, b = v.alias("a"), v.withColumn("next", F.col("vec_id") - 10).alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("b.next") == F.col("a.vec_id")))
-    sim = F.floor(cosine(F.col("a.embedding"), F.col("b.embedding")) * 10000 + 0.500001) / 10000
-    return pairs.select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sim)).alias("cosine"))
-
-
-@R.query("mth4_euclidean", "SELECT vec_id, floor(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) * 10000 + 0.500001) / 10000 AS norm FROM embeddings")
-def mth4(spark, sf_dir):
-    """Length of each vector."""
-    from tallywright.functions.vector import norm
-
-    return _docs(spark, sf_dir, "embeddings").select("vec_id", (F.floor(norm(F.col("embedding")) * 10000 + 0.500001) / 10000).alias("norm"))
-
-
-@R.query("mth5_hash_embedding", "SELECT p_partkey, sha256(p_name) AS bytes FROM part")
-def mth5(spark, sf_dir):
-    """The digest that a text's pseudo-embedding tiles."""
-    return _docs(spark, sf_dir, "part").select("p_partkey", F.sha2("p_name", 256).alias("bytes"))
 
 
 R.sql("mth6_quantity_tiers", "SELECT row_key, CASE WHEN qty <= 5 THEN 'SMALL' WHEN qty <= 50 THEN 'MEDIUM' WHEN qty <= 500 THEN 'LARGE' ELSE 'BULK' END AS tier FROM {catalog}")
 R.sql("mth9_spec_ratio", "SELECT q, pool_rank, CASE WHEN abs(c_qty - q_qty) / greatest(q_qty, 0.0001) <= 0.15 THEN 1.0E0 WHEN abs(c_qty - q_qty) / greatest(q_qty, 0.0001) > 0.35 THEN 0.0E0 ELSE 0.5E0 END AS state FROM {pool}")
-R.sql("mth10_graded_gain", "SELECT q, rank, CASE WHEN ape <= 0.05 THEN 4 WHEN ape <= 0.10 THEN 3 WHEN ape <= 0.20 THEN 2 WHEN ape <= 0.35 THEN 1 ELSE 0 END AS gain FROM (SELECT q, rank, abs(c_price - q_price) / q_price AS ape FROM {top10}) t")
-R.sql("mth11_scale_distance", f"SELECT q, rank, {s4('least(abs(r - ln(2)), abs(r - ln(3)), abs(r - ln(5)), abs(r - ln(10)), abs(r - ln(12)), abs(r - ln(24)), abs(r - ln(100)))')} AS off FROM (SELECT q, rank, abs(ln(c_price / q_price)) AS r FROM {{top10}}) t")
-R.sql("mth12_currency", "SELECT row_key, floor(price * 83.50 * 100 + 0.5) / 100 AS local FROM {catalog}", "SELECT row_key, floor(price * 83.50::DOUBLE * 100 + 0.5) / 100 AS local FROM {catalog}")
-R.sql("mth13_rounding", "SELECT c_custkey, floor(c_acctbal + 0.5) AS half_up FROM {customer}")
 R.sql("arr1_any_slice_join", "SELECT p_partkey, exists(split(p_name, ' '), x -> x LIKE 's%') AS any_s, array_join(slice(split(p_name, ' '), 1, 1), ' ') AS first FROM {part}", "SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: x LIKE 's%')) > 0 AS any_s, string_split(p_name, ' ')[1] AS first FROM {part}")
 R.sql("arr2_coordinate_coercion", "SELECT n_nationkey, coalesce(CASE WHEN n_regionkey = 0 THEN NULL ELSE n_nationkey * 1.5 END, n_regionkey * 2.0, 0.0) AS lat FROM {nation}")
 R.sql("arr3_id_coalescing", "SELECT coalesce(o_custkey, o_orderkey) AS id, count(*) AS n FROM {orders} GROUP BY 1")
-R.sql("jsn1_decision_contract", "SELECT event_id, CASE WHEN props IS NULL THEN 'MISSING' WHEN get_json_object(props, '$.k') IS NULL THEN 'NO_KEY' WHEN cast(get_json_object(props, '$.k') AS int) > 50 THEN 'HIGH' ELSE 'OK' END AS status FROM {events}", "SELECT event_id, CASE WHEN props IS NULL THEN 'MISSING' WHEN json_extract_string(props, '$.k') IS NULL THEN 'NO_KEY' WHEN cast(json_extract_string(props, '$.k') AS int) > 50 THEN 'HIGH' ELSE 'OK' END AS status FROM {events}")
-R.sql("jsn2_unwrapping", "SELECT event_id, coalesce(get_json_object(props, '$.results'), get_json_object(props, '$.k')) AS v FROM {events}", "SELECT event_id, coalesce(json_extract_string(props, '$.results'), json_extract_string(props, '$.k')) AS v FROM {events}")
 R.sql("jsn3_payload", "SELECT s_suppkey, to_json(named_struct('key', s_suppkey, 'name', s_name)) AS payload FROM {supplier}", "SELECT s_suppkey, CAST(json_object('key', s_suppkey, 'name', s_name) AS VARCHAR) AS payload FROM {supplier}")
 
 # ---- scoring and rules
-W = "CASE c_mktsegment WHEN 'MACHINERY' THEN 0.7E0 WHEN 'AUTOMOBILE' THEN 0.6E0 ELSE 0.5E0 END"
-RULE = """SELECT k, c_custkey FROM (SELECT k, c_custkey, near, sum(near) OVER (PARTITION BY k) AS n_near, count(*) OVER (PARTITION BY k) AS n FROM (
- SELECT k, c_custkey, CASE WHEN c_acctbal > 2000 THEN 1 ELSE 0 END AS near FROM (SELECT k, c_custkey, c_acctbal, skill, sum(skill) OVER (PARTITION BY k) AS n_skill, count(*) OVER (PARTITION BY k) AS n FROM (
- SELECT c_nationkey AS k, c_custkey, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS skill FROM {customer}) a) b WHERE skill = 1 OR n <= 3 OR n_skill = 0) c) d WHERE near = 1 OR n <= 3 OR n_near = 0"""
 R.sql("rul2_verified", "SELECT c_custkey FROM {customer} WHERE c_acctbal > 0")
 R.sql(
     "fg1_provenance_features",

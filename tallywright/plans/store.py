@@ -20,16 +20,11 @@ R.sql("fil5_array_contains", "SELECT p_partkey FROM {part} WHERE array_contains(
 R.sql("fil6_projection", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM {customer}")
 R.sql("fil7_substring_any", "SELECT c_custkey FROM {customer} WHERE lower(c_name) LIKE '%99%' OR lower(c_mktsegment) LIKE '%auto%'")
 R.sql("fil8_compact_projection", f"SELECT c_custkey, {s4('least(100.0, greatest(0.0, c_acctbal / 100))')} AS score, concat('segment ', lower(c_mktsegment)) AS reason FROM {{customer}}")
-R.sql(
-    "fil9_evidence_flags",
-    "SELECT page_id, CASE WHEN price_valid AND source_valid AND item_valid THEN 'HIGH' ELSE 'LOW' END AS quality FROM (SELECT page_id, length(html) > 2000 AS price_valid, (url LIKE 'http://%' OR url LIKE 'https://%') AS source_valid, length(trim(url)) > 0 AS item_valid FROM {pages}) t",
-)
 R.sql(
     "fil10_issue_list",
     "SELECT c_custkey, CASE WHEN issues = '' THEN 'NONE' ELSE issues END AS issues FROM (SELECT c_custkey, concat_ws(';', CASE WHEN c_acctbal < 0 THEN 'NEGATIVE' END, CASE WHEN c_nationkey > 20 THEN 'FAR' END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'SEGMENT' END) AS issues FROM {customer}) t",
 )
-R.sql("fil11_price_validity", "SELECT row_key, (price > 0 AND price * 0.5 <= price AND price <= price * 2 AND length(trim(uom)) > 0) AS valid FROM {catalog}")
-R.sql("joi1_lookup_inner", "SELECT l_orderkey, l_linenumber, l_suppkey, s_name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_quantity >= 45")
+R.sql("joi1_lookup_inner", "SELECT l_orderkey, l_linenumber, l_suppkey, s_name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey")
 R.sql("joi2_left_hhi", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {s4('hhi')} AS hhi FROM {{lineitem}} l LEFT JOIN (SELECT k, sum(s * s) AS hhi FROM (SELECT l_orderkey AS k, sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY l_orderkey) AS s FROM {{lineitem}} GROUP BY l_orderkey, l_partkey) t GROUP BY k) h ON l.l_orderkey = h.k")
 R.sql("joi3_unique_keys", "SELECT count(*) AS duplicated FROM (SELECT o_orderkey FROM {orders} GROUP BY o_orderkey HAVING count(*) > 1) t")
 R.sql(
