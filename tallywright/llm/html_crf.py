@@ -111,6 +111,12 @@ def _extracted(field: Field):
 
 
 def extract_main_text(pages: DataFrame, field: Field | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of every row; pages without main text, null or empty, have an empty text."""
+    """page_id, url, text, n_chars of every row.
+
+    Pages without main text, null or empty, have an empty text. Null ids and urls
+    stay, repeated rows give equal rows, further columns are ignored, whatever
+    their names, and an empty table gives an empty result. The time is linear in
+    the length of a page, whatever its nesting.
+    """
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
     return pages.select("page_id", "url", F.col("html")).mapInArrow(_extracted(field or default_field()), schema)

@@ -118,7 +118,12 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     The edited text has its last floor(n / 2) characters replaced by the first as
-    many, or all, of the next document. Null texts are empty.
+    many, or all, of the next document. Null texts are empty. Null doc_ids stand
+    after all others, rows with equal doc_ids in the order of a hash of their text;
+    repeated rows have equal fingerprints. A single row is followed by itself.
+    Further columns are ignored, whatever their names. An empty table gives an
+    empty result. Signatures have 32 bits, so unequal spots of one text are taken
+    for one with a chance of 2 ** -32.
     """
     half = F.expr("n_chars div 2").cast("int")
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
