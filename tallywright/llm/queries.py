@@ -9,9 +9,11 @@ import corpus_pipeline
 from tallywright.llm.common import table
 from tallywright.llm.decontaminate import decontaminate
 from tallywright.llm.html_crf import extract_main_text
+from tallywright.llm.merkle import verify, write_manifest
 from tallywright.llm.minhash import near_duplicates
 from tallywright.llm.oracles import ORACLES
 from tallywright.llm.packing import pack_documents
+from tallywright.llm.periodic import periodic_runs
 from tallywright.llm.quality import score_quality
 from tallywright.llm.secrets import scan_secrets
 from tallywright.llm.sharding import assign_shards
@@ -81,6 +83,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document under the root of all, and what the tampered ones fold to."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return verify(write_manifest(table(spark, sf_dir, "documents"), tampered))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and its text without what they repeat."""
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """All queries of this subpackage."""
     return {
@@ -94,6 +107,8 @@ def queries() -> dict:
         "op8_best_fit": op8_best_fit,
         "op9_quality": op9_quality,
         "op10_token_files": op10_token_files,
+        "op11_merkle": op11_merkle,
+        "op12_periodic_runs": op12_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
