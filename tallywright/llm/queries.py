@@ -20,6 +20,7 @@ from tallywright.llm.sharding import assign_shards
 from tallywright.llm.spotsigs import fingerprint_edits
 from tallywright.llm.tokenbin import read_token_files, write_token_files
 from tallywright.llm.tokens import vocabulary
+from tallywright.llm.toxicity import score_toxicity
 from tallywright.llm.warc import read_archives, write_archives
 
 
@@ -94,6 +95,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     """All queries of this subpackage."""
     return {
@@ -109,6 +115,7 @@ def queries() -> dict:
         "op10_token_files": op10_token_files,
         "op11_merkle": op11_merkle,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_toxicity": op13_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
