@@ -92,7 +92,7 @@ NEEDS = {"catalog": ["catalog"], "pool": ["catalog", "pool"], "top10": ["catalog
 def oracle(sql: str, *names: str) -> str:
     """DuckDB SQL over the named concepts."""
     needed = list(dict.fromkeys(n for name in names for n in NEEDS[name]))
-    return f"WITH {', '.join(CTES[n] for n in needed)} SELECT * FROM ({sql})" if needed else sql
+    return f"WITH {', '.join(CTES[n].replace(' AS (', ' AS MATERIALIZED (', 1) for n in needed)} SELECT * FROM ({sql})" if needed else sql
 
 
 class Registry:

@@ -34,8 +34,7 @@ def _q(text: str) -> str:
 
 
 _UNIT_ROWS = ", ".join(
-    f"({n}, '{code}', '{kind}', {pack}.0::DOUBLE, '{base}', {int('p' in flags)}, {int('b' in flags)}, {int('s' in flags)})"
-    for n, (code, kind, pack, base, flags) in enumerate((c, k, p, b, f) for k, p, b, f, codes in U.UNITS for c in codes.split())
+    f"({n}, '{code}', '{kind}', {pack}.0::DOUBLE, '{base}', {int(packaged)}, {int(bulk)}, {int(single)})" for n, (code, kind, pack, base, packaged, bulk, single) in enumerate(U.UNITS)
 )
 UNIT_CTE = f"""line AS ({DESCRIBED}), known(place, code, kind, pack, base, packaged, bulk, single) AS (VALUES {_UNIT_ROWS}),
 clean AS (SELECT *, upper(trim(coalesce(unit, ''))) AS u, upper(trim(coalesce(unit_text, ''))) AS t FROM line),
@@ -155,7 +154,7 @@ def mth8(spark: SparkSession, sf_dir: str) -> DataFrame:
     "mth7_pack_ratio",
     f"""WITH {UNIT_CTE}, {PACK_CTE}, {RECORD_CTE}, pair AS (SELECT a.p_partkey, a.unit AS qu, b.unit AS cu, a.base AS qb, b.base AS cb, a.kind AS qk, b.kind AS ck, greatest(a.pack, 0.001) AS qp, greatest(b.pack, 0.001) AS cp FROM record a JOIN record b ON b.p_partkey = a.p_partkey + 1)
 SELECT p_partkey, (qu = cu AND qu <> 'UNKNOWN')::INT AS same_unit, (qb = cb AND qb <> 'OTHER')::INT AS same_base, (qk = ck AND qk <> 'OTHER')::INT AS same_kind, (abs(qp - cp) < 0.001)::INT AS same_pack, {s4('qp / cp')} AS ratio, {s4('ln(qp / cp)')} AS log_ratio, abs(qp - cp) AS difference,
- ((qp > 1 AND cp <= 1) OR (qp <= 1 AND cp > 1))::INT AS cross_packaging, (abs(ln(qp / cp)) > ln(3))::INT AS severe, {s4('1 / (1 + abs(ln(qp / cp)))')} AS consistency FROM pair""",
+ ((qp > 1 AND cp <= 1) OR (qp <= 1 AND cp > 1))::INT AS cross_packaging, (qp > 3 * cp OR cp > 3 * qp)::INT AS severe, {s4('1 / (1 + abs(ln(qp / cp)))')} AS consistency FROM pair""",
 )
 def mth7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit and pack comparison of each line with the next part's."""
@@ -178,7 +177,7 @@ def mth7(spark: SparkSession, sf_dir: str) -> DataFrame:
         q4(off).alias("log_ratio"),
         F.abs(a - b).alias("difference"),
         flag(((a > 1) & (b <= 1)) | ((a <= 1) & (b > 1))).alias("cross_packaging"),
-        flag(F.abs(off) > F.log(F.lit(3.0))).alias("severe"),
+        flag((a > 3 * b) | (b > 3 * a)).alias("severe"),
         q4(1 / (1 + F.abs(off))).alias("consistency"),
     )
 
