@@ -50,6 +50,80 @@ def latest_prior(catalog: DataFrame, is_query: Column, keys: list[str], n: int,
     )
 
 
+def newest_of_lists(history: DataFrame, asks: DataFrame, keys: list[str], n: int, date: str = "d", tie: str = "row_key") -> DataFrame:
+    """The newest n rows of each list that a query asks for, strictly before its date.
+
+    history: keys, date, tie, one row for each list that a row stands in. asks: keys,
+    date and further columns, one row for each list that a query asks for. Returns
+    the asks' further columns, c (tie of the row found) and c_d (its date). Rows
+    before a date are counted by day within (list, month), and months get offsets, so
+    neither a list nor its queries need meet in one task; rows are then found by
+    their place, an equi-join.
+    """
+    days = history.groupBy(*keys, date).agg(F.count("*").alias("one")).unionByName(asks.select(*keys, date).distinct().withColumn("one", F.lit(0).cast("long")))
+    days = days.groupBy(*keys, date).agg(F.sum("one").alias("one"), F.min("one").alias("least")).withColumn("month", F.date_format(date, "yyyy-MM"))
+    earlier = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = days.groupBy(*keys, "month").agg(F.sum("one").alias("in_month")).select(*keys, "month", F.coalesce(F.sum("in_month").over(earlier), F.lit(0)).alias("offset"))
+    before = Window.partitionBy(*keys, "month").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    counted = days.withColumn("at", F.coalesce(F.sum("one").over(before), F.lit(0))).where("least = 0").join(offsets, [*keys, "month"])
+    prior = counted.select(*keys, date, (F.col("offset") + F.col("at")).alias("prior")).where("prior > 0")
+    wanted = asks.join(prior, [*keys, date]).withColumn("nth", F.explode(F.sequence(F.greatest(F.col("prior") - (n - 1), F.lit(1)), F.col("prior")))).drop("prior", date)
+    found = ranked_history(history, keys, date, tie).select(*keys, "nth", F.col(tie).alias("c"), F.col(date).alias("c_d"))
+    return wanted.join(found, [*keys, "nth"]).drop(*keys, "nth")
+
+
+#: Cells of a unit on the axis of the second key, and levels of dyadic cells over them.
+FINE, LEVELS = 32, 5
+
+
+def _outside(low: Column, high: Column):
+    return lambda c: (low > high) | (F.floor(c / 2) < low) | (F.floor(c / 2) > high)
+
+
+def _named(level: int):
+    return lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell"))
+
+
+def _cover(first: Column, last: Column) -> Column:
+    """Array of (level, cell): the fewest dyadic cells whose union is the fine cells first..last."""
+    out = []
+    for level in range(LEVELS):
+        size = 1 << level
+        low, high = F.ceil(first / size), F.floor((last + 1) / size) - 1
+        cells = F.when(low <= high, F.sequence(low.cast("long"), high.cast("long"))).otherwise(F.array().cast("array<long>"))
+        if level + 1 < LEVELS:  # those whose parent is not covered whole
+            low2, high2 = F.ceil(first / (2 * size)), F.floor((last + 1) / (2 * size)) - 1
+            cells = F.filter(cells, _outside(low2, high2))
+        out.append(F.transform(cells, _named(level)))
+    return F.flatten(F.array(*out))
+
+
+def latest_in_band(rows: DataFrame, is_query: Column, key: str, axis: Column, half: float, n: int, date: str = "d", tie: str = "row_key") -> DataFrame:
+    """(q, c, c_d): the newest n rows of the query's key before its date whose axis is within ``half`` of the query's.
+
+    Rows stand in dyadic cells of the axis, one for each level, and in a list of
+    their exact value. A band is covered by few cells, and at its two edges by the
+    lists of those values that lie within it; so a query reads the newest n rows of
+    some ten lists, whatever the history, and the edges are exact. Null axes are in
+    no band.
+    """
+    slim = rows.select(F.col(key).alias("key"), F.col(date).alias("d"), F.col(tie).alias("row_key"), axis.alias("x"), is_query.alias("asks")).where("x is not null and key is not null")
+    values = slim.groupBy("key", "x").agg(F.max(F.col("asks").cast("int")).alias("asked")).withColumn("cell", F.floor(F.col("x") * FINE))
+    near = 1e-9
+    low_edge = F.sequence(F.floor((F.col("x") - half - near) * FINE), F.floor((F.col("x") - half + near) * FINE))
+    high_edge = F.sequence(F.floor((F.col("x") + half - near) * FINE), F.floor((F.col("x") + half + near) * FINE))
+    wanted = values.where("asked = 1").select("key", F.col("x"), low_edge.alias("low"), high_edge.alias("high"))
+    inside = wanted.select("key", "x", F.explode(_cover(F.array_max("low") + 1, F.array_min("high") - 1)).alias("at")).select("key", "x", "at.level", F.col("at.cell").cast("double").alias("spot"))
+    edges = wanted.select("key", "x", F.explode(F.array_distinct(F.concat("low", "high"))).alias("cell")).join(values.select("key", "cell", F.col("x").alias("spot")), ["key", "cell"])
+    edges = edges.where(F.abs(F.col("spot") - F.col("x")) <= half).select("key", "x", F.lit(-1).alias("level"), "spot")
+    levels = F.array(F.struct(F.lit(-1).alias("level"), F.col("x").alias("spot")), *[F.struct(F.lit(k).alias("level"), F.floor(F.floor(F.col("x") * FINE) / (1 << k)).cast("double").alias("spot")) for k in range(LEVELS)])
+    history = slim.select("key", "d", "row_key", F.explode(levels).alias("at")).select("key", "d", "row_key", "at.level", "at.spot")
+    asks = slim.where("asks").select(F.col("row_key").alias("q"), "d", "key", "x").join(inside.unionByName(edges), ["key", "x"]).drop("x")
+    found = newest_of_lists(history, asks, ["key", "level", "spot"], n)
+    newest = Window.partitionBy("q").orderBy(F.desc("c_d"), F.desc("c"))
+    return found.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= n)
+
+
 def decayed_stats(catalog: DataFrame, is_query: Column, keys: list[str], half_life: float, value: str = "lp", date: str = "d") -> DataFrame:
     """Exponentially decayed weight, mean and variance of ``value`` over the prior days of each query's key.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.temporal import latest_prior, ranked_history
+from tallywright.operators.temporal import latest_in_band, latest_prior, newest_of_lists, ranked_history
+from tallywright.operators.topk import nearest
 from tallywright.plans.base import EVAL_FROM, Registry, read
 from tallywright.plans.retrieval import asked
 from tallywright.sources.shared import materialized
@@ -123,15 +124,9 @@ def chd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_quantity(rows: DataFrame) -> DataFrame:
-    """(q, c, d, k): the newest 30 prior rows of the commodity within half a decade of the quantity.
-
-    A row joins the history of every quantity asked for that it fits; the quantities
-    asked for are counted by the number of their distinct values.
-    """
-    wanted = rows.where(asked()).select(F.col("qty").alias("near")).distinct()
-    fits = F.abs(F.log10(F.greatest("qty", F.lit(1.0))) - F.log10(F.greatest("near", F.lit(1.0)))) <= 0.50
-    pairs = latest_prior(rows.select("row_key", "d", "code", "qty").join(wanted, fits), asked() & (F.col("qty") == F.col("near")), ["code", "near"], TOP, ["row_key", "d"])
-    return pairs.select(F.col("q_row_key").alias("q"), F.col("c_row_key").alias("c"), F.col("c_d").alias("d"), F.col("pool_rank").alias("k"))
+    """(q, c, d, k): the newest 30 prior rows of the commodity within half a decade of the quantity."""
+    found = latest_in_band(rows, asked(), "code", F.log10(F.greatest("qty", F.lit(1.0))), 0.50, TOP)
+    return found.select("q", "c", F.col("c_d").alias("d"), "k")
 
 
 QUANTITY_SQL = f"""SELECT q.row_key AS q, c.row_key AS c, c.d, row_number() OVER (PARTITION BY q.row_key ORDER BY c.d DESC, c.row_key DESC) AS k
@@ -169,13 +164,25 @@ def part_terms(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return weighted.join(size, "part").select("part", "term", (F.col("w") / F.col("size")).alias("w"))
 
 
-def similar_parts(spark: SparkSession, sf_dir: str, kind: str, store: str) -> DataFrame:
-    """(a, b, cos) of all parts of one store that share a term, by an equi-join on store and term, to six places."""
-    place = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand" if store == "code" else "p_type").alias("store"))
-    terms = part_terms(spark, sf_dir, kind).join(place, "part")
-    a, b = terms.select("store", "term", F.col("part").alias("a"), F.col("w").alias("wa")), terms.select("store", "term", F.col("part").alias("b"), F.col("w").alias("wb"))
-    dots = a.join(b, ["store", "term"]).groupBy("store", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
-    return dots.select("a", "b", (F.floor(F.col("cos") * 1e6 + 0.5) / 1e6).alias("cos"))
+def similar_parts(spark: SparkSession, sf_dir: str, kind: str, store: str, unit_share: float, rows: DataFrame) -> DataFrame:
+    """(a, b, cos, score) of the parts of one store whose rows can be among the first 30 of a part's queries, to six places.
+
+    A unit that counts for a share of the score is a further term of the vectors, so
+    that the score is one dot product. Rows before the evaluation period are prior to
+    every query, so a part's own first 30 are decided by their numbers.
+    """
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand" if store == "code" else "p_type").alias("store"), (F.col("p_size") % 4).alias("unit"))
+    vectors = part_terms(spark, sf_dir, kind).withColumnRenamed("part", "id").withColumn("w", F.col("w") * (1 - unit_share) ** 0.5)
+    if unit_share:
+        vectors = vectors.unionByName(part.select("id", F.concat(F.lit("unit "), F.col("unit")).alias("term"), F.lit(unit_share**0.5).alias("w")))
+    old = rows.where(F.col("d") < F.lit(EVAL_FROM).cast("date")).groupBy(F.col("part").alias("id")).agg(F.count("*").alias("n"))
+    pairs = nearest(vectors.join(part.select("id", "store"), "id"), old, TOP, (1 - unit_share) * LEAST_SIMILARITY - 1e-6)
+    if unit_share:
+        pairs = pairs.join(part.select(F.col("id").alias("a"), F.col("unit").alias("ua")), "a").join(part.select(F.col("id").alias("b"), F.col("unit").alias("ub")), "b")
+    match = (F.col("ua") == F.col("ub")).cast("int") if unit_share else F.lit(0)
+    cos = F.floor((F.col("dot") - unit_share * match) / (1 - unit_share) * 1e6 + 0.5) / 1e6
+    score = F.floor(((1 - unit_share) * F.col("cos") + unit_share * match) * 1e6 + 0.5) / 1e6
+    return pairs.withColumn("cos", cos).select("a", "b", "cos", score.alias("score"))
 
 
 def similar_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -190,30 +197,16 @@ def similar_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     by_score = Window.partitionBy("a").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     tied = Window.partitionBy("a", "score")
     counted = pairs.join(old, "b", "left").withColumn("n_old", F.coalesce("n_old", F.lit(0)))
-    needed = counted.withColumn("above", F.sum("n_old").over(by_score) - F.sum("n_old").over(tied)).where(F.col("above") < TOP).select("a", "b", "cos", "score")
-    asks = slim.where(asked()).select(F.col("row_key").alias("q"), F.col("d"), F.col("part").alias("a")).join(needed, "a")
-    history = ranked_history(slim, ["part"]).select("part", "d", "row_key", "nth")
-    day = F.datediff("d", F.lit("1990-01-01").cast("date"))
-    both = history.select(F.col("part").alias("b"), day.alias("day"), F.lit(1).alias("one"), F.lit(None).cast("string").alias("q"), *[F.lit(None).cast("double").alias(x) for x in ("cos", "score")]).union(
-        asks.select("b", day.alias("day"), F.lit(0), "q", "cos", "score")
-    )
-    prior = F.coalesce(F.sum("one").over(Window.partitionBy("b").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = both.withColumn("prior", prior).where("q is not null and prior > 0")
-    wanted = placed.select("q", "b", "cos", "score", F.explode(F.sequence(F.greatest(F.col("prior") - (TOP - 1), F.lit(1)), F.col("prior"))).alias("nth"))
-    found = wanted.join(history.select(F.col("part").alias("b"), "nth", F.col("row_key").alias("c"), "d"), ["b", "nth"])
+    needed = counted.withColumn("above", F.sum("n_old").over(by_score) - F.sum("n_old").over(tied)).where(F.col("above") < TOP).select("a", F.col("b").alias("part"), "cos", "score")
+    asks = slim.where(asked()).select(F.col("row_key").alias("q"), "d", F.col("part").alias("a")).join(needed, "a").drop("a")
+    found = newest_of_lists(slim, asks, ["part"], TOP).withColumnRenamed("c_d", "d")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("d"), F.desc("c")))
     return found.withColumn("k", place).where((F.col("k") <= TOP) & (F.col("cos") >= LEAST_SIMILARITY)).select("q", "c", "d", "k", "cos")
 
 
-def _text_channel(spark: SparkSession, sf_dir: str, kind: str, store: str, unit_share: float = 0.0) -> DataFrame:
-    pairs = similar_parts(spark, sf_dir, kind, store)
-    if unit_share:
-        unit = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4).alias("u"))
-        pairs = pairs.join(unit.select(F.col("p_partkey").alias("a"), F.col("u").alias("ua")), "a").join(unit.select(F.col("p_partkey").alias("b"), F.col("u").alias("ub")), "b")
-        score = (1 - unit_share) * F.col("cos") + unit_share * (F.col("ua") == F.col("ub")).cast("int")
-    else:
-        score = F.col("cos")
-    return similar_rows(lines(spark, sf_dir), materialized(pairs.select("a", "b", "cos", (F.floor(score * 1e6 + 0.5) / 1e6).alias("score"))))
+def _text_channel(spark: SparkSession, sf_dir: str, kind: str, store: str, unit_share: float = 0.0, rows: DataFrame | None = None) -> DataFrame:
+    rows = rows or materialized(lines(spark, sf_dir), "lines")
+    return similar_rows(rows, materialized(similar_parts(spark, sf_dir, kind, store, unit_share, rows), "similar"))
 
 
 def _text_cte(kind: str) -> str:
@@ -251,7 +244,7 @@ def channel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialized(lines(spark, sf_dir))
     found = {c: keyed(rows, keys, least, wider) for c, (_, keys, least, wider) in KEYED.items()}
     found |= {"D": by_specs(rows), "J": by_quantity(rows)}
-    found |= {c: _text_channel(spark, sf_dir, *rest).drop("cos") for c, (_, *rest) in TEXTS.items() if c != "H"}
+    found |= {c: _text_channel(spark, sf_dir, *rest, rows).drop("cos") for c, (_, *rest) in TEXTS.items()}
     tagged = [frame.select("q", "c", "d", "k", F.lit(c).alias("channel"), F.lit(PRIORITY[c]).alias("priority")) for c, frame in sorted(found.items())]
     every = tagged[0]
     for frame in tagged[1:]:
@@ -261,14 +254,14 @@ def channel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = {**{c: _key_sql(keys, least, wider) for c, (_, keys, least, wider) in KEYED.items()}, "D": SPEC_SQL, "J": QUANTITY_SQL, **{c: _text_sql(*rest) for c, (_, *rest) in TEXTS.items() if c != "H"}}
+_ALL = {**{c: _key_sql(keys, least, wider) for c, (_, keys, least, wider) in KEYED.items()}, "D": SPEC_SQL, "J": QUANTITY_SQL, **{c: _text_sql(*rest) for c, (_, *rest) in TEXTS.items()}}
 UNION_SQL = f"""WITH {LINES}, {SPEC_CTE}, {_text_cte('word')}, {_text_cte('char')}, found AS ({' UNION ALL '.join(f"SELECT q, c, d, k, '{c}' AS channel, {PRIORITY[c]} AS priority FROM ({sql})" for c, sql in sorted(_ALL.items()))}),
 united AS (SELECT q, c, any_value(d) AS d, string_agg(channel, '' ORDER BY channel) AS channels, count(*) AS channel_count, min(priority) AS priority, arg_min(k, channel) AS first_k FROM found GROUP BY q, c)"""
 
 
 @R.query("chu_channel_union", f"{UNION_SQL} SELECT q, c, channels, channel_count, priority, first_k FROM united")
 def chu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of the channels A to F, I and J."""
+    """Union of the channels A to F and H to J."""
     return channel_union(spark, sf_dir).drop("d")
 
 
