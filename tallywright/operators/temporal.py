@@ -50,15 +50,11 @@ def latest_prior(catalog: DataFrame, is_query: Column, keys: list[str], n: int,
     )
 
 
-def newest_of_lists(history: DataFrame, asks: DataFrame, keys: list[str], n: int, date: str = "d", tie: str = "row_key") -> DataFrame:
-    """The newest n rows of each list that a query asks for, strictly before its date.
+def counts_before(history: DataFrame, asks: DataFrame, keys: list[str], date: str = "d") -> DataFrame:
+    """keys, date, prior: for each (keys, date) of asks the rows of history with these keys and an earlier date.
 
-    history: keys, date, tie, one row for each list that a row stands in. asks: keys,
-    date and further columns, one row for each list that a query asks for. Returns
-    the asks' further columns, c (tie of the row found) and c_d (its date). Rows
-    before a date are counted by day within (list, month), and months get offsets, so
-    neither a list nor its queries need meet in one task; rows are then found by
-    their place, an equi-join.
+    Rows are counted by day within (keys, month), and months get offsets, so that
+    neither a key's history nor its queries need meet in one task.
     """
     days = history.groupBy(*keys, date).agg(F.count("*").alias("one")).unionByName(asks.select(*keys, date).distinct().withColumn("one", F.lit(0).cast("long")))
     days = days.groupBy(*keys, date).agg(F.sum("one").alias("one"), F.min("one").alias("least")).withColumn("month", F.date_format(date, "yyyy-MM"))
@@ -66,7 +62,18 @@ def newest_of_lists(history: DataFrame, asks: DataFrame, keys: list[str], n: int
     offsets = days.groupBy(*keys, "month").agg(F.sum("one").alias("in_month")).select(*keys, "month", F.coalesce(F.sum("in_month").over(earlier), F.lit(0)).alias("offset"))
     before = Window.partitionBy(*keys, "month").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
     counted = days.withColumn("at", F.coalesce(F.sum("one").over(before), F.lit(0))).where("least = 0").join(offsets, [*keys, "month"])
-    prior = counted.select(*keys, date, (F.col("offset") + F.col("at")).alias("prior")).where("prior > 0")
+    return counted.select(*keys, date, (F.col("offset") + F.col("at")).alias("prior"))
+
+
+def newest_of_lists(history: DataFrame, asks: DataFrame, keys: list[str], n: int, date: str = "d", tie: str = "row_key") -> DataFrame:
+    """The newest n rows of each list that a query asks for, strictly before its date.
+
+    history: keys, date, tie, one row for each list that a row stands in. asks: keys,
+    date and further columns, one row for each list that a query asks for. Returns
+    the asks' further columns, c (tie of the row found) and c_d (its date). Rows are
+    found by their place in the list, an equi-join.
+    """
+    prior = counts_before(history, asks, keys, date).where("prior > 0")
     wanted = asks.join(prior, [*keys, date]).withColumn("nth", F.explode(F.sequence(F.greatest(F.col("prior") - (n - 1), F.lit(1)), F.col("prior")))).drop("prior", date)
     found = ranked_history(history, keys, date, tie).select(*keys, "nth", F.col(tie).alias("c"), F.col(date).alias("c_d"))
     return wanted.join(found, [*keys, "nth"]).drop(*keys, "nth")
