@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.html_blocks import FEATURES, blocks, labelled_pages
+from tallywright.llm.tokens import slices
 
 #: Pages of the labelled sample that the field is trained on.
 TRAINING_PAGES = 400
@@ -101,7 +102,7 @@ def main_text(page: str, field: Field) -> str:
 def _extracted(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, field) if page else "" for page in batch.column("html").to_pylist()]
+            texts = [main_text(page, field) if page else "" for pages in slices(batch.column("html")) for page in pages]
             kept = [n for n in batch.schema.names if n != "html"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"]
