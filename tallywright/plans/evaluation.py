@@ -13,7 +13,6 @@ def q4(x: str) -> str:
 
 
 HIT10 = "abs(c_price - q_price) <= 0.10 * q_price"
-APE = "abs(c_price - q_price) / q_price"
 
 # ---- the flagship: pool statistics, reliability and conformal interval of each query's benchmark price
 R.sql(
@@ -69,24 +68,6 @@ R.sql(
  sum(CASE WHEN first <= 10 THEN 1 ELSE 0 END) AS top10, {q4('avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 / first END)')} AS mrr, sum(CASE WHEN first > 1 THEN 1 ELSE 0 END) AS recoverable
  FROM (SELECT q, min(CASE WHEN {HIT10} THEN rank END) AS first FROM {{top10}} GROUP BY q) t""",
 )
-R.sql(
-    "agg14_accuracy",
-    f"""SELECT {q4('avg(CASE WHEN ape <= 0.05 THEN 1.0E0 ELSE 0.0E0 END)')} AS acc5, {q4('avg(CASE WHEN ape <= 0.10 THEN 1.0E0 ELSE 0.0E0 END)')} AS acc10, {q4('avg(CASE WHEN ape <= 0.20 THEN 1.0E0 ELSE 0.0E0 END)')} AS acc20,
- {q4('avg(abs(c_price - q_price))')} AS mae, {q4('median(ape)')} AS mdape, {q4('avg(ape)')} AS mape FROM (SELECT *, {APE} AS ape FROM {{top10}} WHERE rank = 1) t""",
-)
-R.sql(
-    "agg15_series_summary",
-    f"""SELECT count(*) AS n, {q4('avg(score)')} AS mean, {q4('stddev_pop(score)')} AS sd, {q4('min(score)')} AS low, {q4('percentile(score, 0.05)')} AS p5, {q4('percentile(score, 0.25)')} AS p25, {q4('median(score)')} AS p50, {q4('percentile(score, 0.75)')} AS p75, {q4('percentile(score, 0.95)')} AS p95, {q4('max(score)')} AS high FROM {{top10}} WHERE rank = 1""",
-    f"""SELECT count(*) AS n, {q4('avg(score)')} AS mean, {q4('stddev_pop(score)')} AS sd, {q4('min(score)')} AS low, {q4('quantile_cont(score, 0.05)')} AS p5, {q4('quantile_cont(score, 0.25)')} AS p25, {q4('median(score)')} AS p50, {q4('quantile_cont(score, 0.75)')} AS p75, {q4('quantile_cont(score, 0.95)')} AS p95, {q4('max(score)')} AS high FROM {{top10}} WHERE rank = 1""",
-)
-BINS = """SELECT bin, count(*) AS n, sum(hit) AS hits FROM (SELECT hit, CASE WHEN score <= e20 THEN 1 WHEN score <= e40 THEN 2 WHEN score <= e60 THEN 3 WHEN score <= e80 THEN 4 ELSE 5 END AS bin
- FROM (SELECT score, CASE WHEN {hit} THEN 1 ELSE 0 END AS hit FROM {{top10}} WHERE rank = 1) a CROSS JOIN (SELECT {p}(score, 0.2) AS e20, {p}(score, 0.4) AS e40, {p}(score, 0.6) AS e60, {p}(score, 0.8) AS e80 FROM {{top10}} WHERE rank = 1) b) c GROUP BY bin"""
-R.sql("agg16_quintile_bins", BINS.format(hit=HIT10, p="percentile"), BINS.format(hit=HIT10, p="quantile_cont"))
-R.sql(
-    "agg17_auc_and_correlation",
-    f"""SELECT {q4('(sum(CASE WHEN hit = 1 THEN r ELSE 0 END) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * (count(*) - sum(hit)) * 1.0)')} AS auc, {q4('corr(score, ape)')} AS corr
- FROM (SELECT score, ape, hit, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM (SELECT score, {APE} AS ape, CASE WHEN {HIT10} THEN 1 ELSE 0 END AS hit FROM {{top10}} WHERE rank = 1) t) u""",
-)
 R.sql(
     "agg19_cohort_effect",
     f"""SELECT {q4('avg(CASE WHEN hit = 1 THEN spread END)')} AS mean_hit, {q4('avg(CASE WHEN hit = 0 THEN spread END)')} AS mean_miss,

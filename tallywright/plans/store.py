@@ -41,7 +41,6 @@ R.sql("joi11_gazetteer", "SELECT page_id, n_nationkey FROM (SELECT page_id, n_na
 R.sql("joi12_semi", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 49)")
 R.sql("joi13_theta_market", "SELECT c_custkey, count(*) AS offers FROM {customer} JOIN (SELECT s_suppkey, s_acctbal FROM {supplier} WHERE s_acctbal > 9000) s ON c_acctbal > s_acctbal GROUP BY c_custkey")
 R.sql("joi14_enrichment", "SELECT o_orderkey, coalesce(c_name, 'unknown') AS name FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'")
-R.sql("agg1_market_benchmark", f"SELECT code, uom, count(*) AS n, {s4('min(price)')} AS low, {s4('median(price)')} AS med, {s4('max(price)')} AS high, count(DISTINCT vendor) AS vendors FROM {{catalog}} GROUP BY code, uom")
 R.sql("agg2_order_quantity", "SELECT po, code, sum(qty) AS qty FROM {catalog} GROUP BY po, code")
 R.sql("agg3_hhi", f"SELECT po, {s4('sum(s * s)')} AS hhi FROM (SELECT po, sum(qty) / greatest(sum(sum(qty)) OVER (PARTITION BY po), 0.0001) AS s FROM {{catalog}} GROUP BY po, code) t GROUP BY po")
 R.sql("agg4_primary_line", "SELECT row_key, CASE WHEN qty >= max(qty) OVER (PARTITION BY po) - 0.0001 THEN 1 ELSE 0 END AS is_primary, sum(qty) OVER (PARTITION BY po) AS total FROM {catalog}")
@@ -63,11 +62,6 @@ R.sql("set4_subset", "SELECT p_partkey, size(array_except(split(p_name, ' '), ar
       "SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: NOT list_contains(['small', 'large', 'ring', 'bolt'], x))) = 0 AS within FROM {part}")
 R.sql("set5_first_by_source", "SELECT code, vendor, row_key FROM (SELECT code, vendor, row_key, row_number() OVER (PARTITION BY code, vendor ORDER BY d, row_key) AS k FROM {catalog}) t WHERE k = 1")
 R.sql("set6_reason_merge", "SELECT c_custkey, CASE WHEN length(trim(reason)) > 10 THEN reason ELSE 'no reason given' END AS reason FROM (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN concat('balance ', c_mktsegment) ELSE '' END AS reason FROM {customer}) t")
-R.sql(
-    "mkt1_market_benchmark",
-    f"SELECT code, uom, CASE WHEN n < 3 THEN 'INSUFFICIENT' ELSE 'OK' END AS status, CASE WHEN n >= 3 THEN {s4('med')} END AS med FROM (SELECT code, uom, count(*) AS n, median(price) AS med FROM (SELECT code, uom, price, row_number() OVER (PARTITION BY code, uom, vendor ORDER BY d DESC, row_key) AS k FROM {{catalog}} WHERE price > 0) t WHERE k = 1 GROUP BY code, uom) u",
-)
-R.sql("mkt2_fallback", f"SELECT c.row_key, {s4('coalesce(h.med, m.med)')} AS price FROM (SELECT row_key, code, family, model, uom FROM {{catalog}} WHERE d >= DATE '2001-01-01') c LEFT JOIN (SELECT code, model, uom, median(price) AS med FROM {{catalog}} WHERE d < DATE '2001-01-01' GROUP BY code, model, uom HAVING count(*) >= 3) h ON c.code = h.code AND c.model = h.model AND c.uom = h.uom LEFT JOIN (SELECT family, median(price) AS med FROM {{catalog}} WHERE d < DATE '2001-01-01' GROUP BY family) m ON c.family = m.family")
 R.sql(
     "stm5_tumbling_counts",
     "SELECT date_trunc('HOUR', ts) AS hour, event_type, count(*) AS n FROM {events} GROUP BY 1, 2",
