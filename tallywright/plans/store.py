@@ -39,7 +39,6 @@ R.sql("joi10_proximity_band", f"SELECT a_key, b_key FROM (SELECT a_key, b_key, {
 R.sql("mth2_proximity", f"SELECT a_key, b_key, {s4('exp(-km / 15)')} AS p15, {s4('exp(-km / 35)')} AS p35, {s4('least(99.0, greatest(65.0, 100 / (1 + km / 15)))')} AS shown FROM (SELECT a_key, b_key, {HAV} AS km FROM ({GEO}) t) u")
 R.sql("joi11_gazetteer", "SELECT page_id, n_nationkey FROM (SELECT page_id, n_nationkey, row_number() OVER (PARTITION BY page_id ORDER BY length(n_name) DESC, n_nationkey) AS k FROM {pages} JOIN {nation} ON url LIKE concat('%/', substr(lower(n_name), 8), '%')) t WHERE k = 1")
 R.sql("joi12_semi", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 49)")
-R.sql("joi13_theta_market", "SELECT c_custkey, count(*) AS offers FROM {customer} JOIN (SELECT s_suppkey, s_acctbal FROM {supplier} WHERE s_acctbal > 9000) s ON c_acctbal > s_acctbal GROUP BY c_custkey")
 R.sql("joi14_enrichment", "SELECT o_orderkey, coalesce(c_name, 'unknown') AS name FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'")
 R.sql("agg2_order_quantity", "SELECT po, code, sum(qty) AS qty FROM {catalog} GROUP BY po, code")
 R.sql("agg3_hhi", f"SELECT po, {s4('sum(s * s)')} AS hhi FROM (SELECT po, sum(qty) / greatest(sum(sum(qty)) OVER (PARTITION BY po), 0.0001) AS s FROM {{catalog}} GROUP BY po, code) t GROUP BY po")
