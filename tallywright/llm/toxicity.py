@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,39 +46,51 @@ _GREEK, _GREEK_LATIN = "αεικνορτυχω", "aeiknoptuxw"
 _OTHER, _OTHER_LATIN = "ıłøđßɑɡɩʀʏ", "ilodsagiry"
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _LOOKALIKES = str.maketrans(_CYRILLIC + _GREEK + _OTHER, _CYRILLIC_LATIN + _GREEK_LATIN + _OTHER_LATIN, _INVISIBLE)
+_ANY_LOOKALIKE = re.compile(f"[{_CYRILLIC}{_GREEK}{_OTHER}{_INVISIBLE}]")
 # Signs by the digits that they look like, and digits by letters; 1 stands for i or l.
 _SIGNS = {"@": "4", "$": "5", "!": "1", "|": "1"}
 _DIGITS = dict(zip("0134578", "oieastb", strict=True))
 _AS_I = str.maketrans(_DIGITS)
 _AS_L = str.maketrans(_DIGITS | {"1": "l"})
-#: Latin letters with marks, and what is left without; one character each.
-_UNMARKED = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
-_PLAIN_AS_I = str.maketrans({k: v for k, v in _UNMARKED.items()} | _DIGITS)
-_PLAIN_AS_L = str.maketrans({k: v for k, v in _UNMARKED.items()} | _DIGITS | {"1": "l"})
-_NUMBER = re.compile(r"(?<![^\W_])\d++(?![^\W_])")
 _SIGN = re.compile(r"[@$!|](?=[^\W_])")
 _GAP = re.compile(r"[\W_]+")
+_SPACE = re.compile(" ")
+_ASCII_GAPS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
 
 
-def folded(text: str) -> str:
-    """Words in lower case, one space before and after each, look-alikes as Latin letters, signs as digits; numbers are left out."""
+def folded(text: str) -> list[str]:
+    """Words in lower case, look-alikes as Latin letters, signs before a letter or digit as digits; words of digits alone are left out."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
-    if not text.isascii():
+    if _ANY_LOOKALIKE.search(text):
         text = unicodedata.normalize("NFC", text.translate(_LOOKALIKES))
-    text = _SIGN.sub(lambda m: _SIGNS[m[0]], _NUMBER.sub(" ", text))
-    return f" {_GAP.sub(' ', text).strip()} "
+    text = _SIGN.sub(lambda m: _SIGNS[m[0]], text)
+    words = text.translate(_ASCII_GAPS) if text.isascii() else _GAP.sub(" ", text)
+    return [w for w in words.split() if not w.isdigit()]
+
+
+def spelled(words: list[str], table: dict = _AS_I) -> list[str]:
+    """The words with digits read as letters."""
+    return [w if w.isalpha() else w.translate(table) for w in words]
+
+
+def readings(words: list[str]) -> list[str]:
+    """What folded words may say, each reading with one space before, between and after all of them: digits as letters, 1 as i and as l, with marks and without.
+
+    Every reading has the words in their order, so a word is known by its number. A
+    word that has no Latin letter is empty in a reading without marks.
+    """
+    out = [f" {' '.join(spelled(words))} "]
+    if not out[0].isascii():
+        out.append(_unmarked(out[0]))
+    if any("1" in w for w in words):
+        out.append(_unmarked(f" {' '.join(spelled(words, _AS_L))} "))
+    return list(dict.fromkeys(out))
 
 
-def readings(base: str) -> list[str]:
-    """What a folded text may say, all of one length: digits as letters, with and without marks, 1 as i and as l."""
-    out = [base.translate(_AS_I)]
-    for table in (_PLAIN_AS_I, _PLAIN_AS_L) if "1" in base or not base.isascii() else ():
-        other = base.translate(table)
-        if other not in out:
-            out.append(other)
-    return out
+def _unmarked(text: str) -> str:
+    return unicodedata.normalize("NFD", text).encode("ascii", "ignore").decode("ascii")
 
 
 @dataclass
@@ -110,22 +123,20 @@ class Lexicon:
 
     def measure(self, text: str) -> tuple[int, int, float]:
         """Words, words that match the lexicon, and the sum of their weights; a word counts once, with its heaviest term."""
-        base = folded(text)
-        words = base.count(" ") - 1 if base != "  " else 0
+        words = folded(text)
         best: dict[int, float] = {}
-        phrases = []
-        if words:
-            for said in readings(base):
-                for end, (size, weight) in self.automaton().iter(said):
-                    start = end - size + 1
-                    if weight is None:
-                        phrases.append((start, end))
-                    elif weight > best.get(start, 0.0):
-                        best[start] = weight
-        for start, end in phrases:
-            for at in [a for a in best if start <= a < end]:
-                del best[at]
-        return words, len(best), sum(best.values())
+        excused: set[int] = set()
+        for said in readings(words) if words else ():
+            found = list(self.automaton().iter(said))
+            spaces = [m.start() for m in _SPACE.finditer(said)] if found else []
+            for end, (size, weight) in found:
+                number = bisect_left(spaces, end - size + 1)  # a term starts with the space before its word
+                if weight is None:
+                    excused.update(range(number, bisect_left(spaces, end)))
+                elif weight > best.get(number, 0.0):
+                    best[number] = weight
+        kept = [w for number, w in best.items() if number not in excused]
+        return len(words), len(kept), sum(kept)
 
     def score(self, density: np.ndarray) -> np.ndarray:
         """Scores from 0 to 1 of densities."""
@@ -179,7 +190,7 @@ def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batch.column("text"), 200_000):
             rows: tuple[list, list, list] = ([], [], [])
             for text in texts:
-                words = folded(text).translate(_AS_I).split()
+                words = spelled(folded(text))
                 label, source = next(labels), origin(words)
                 for word, count in Counter(words).items():
                     k = min(count, TIMES) if len(word) <= 30 else 0
@@ -249,7 +260,7 @@ def _binned(lexicons: list[Lexicon], width: float):
             bins = []
             for texts in slices(batch.column("text")):
                 for text in texts:
-                    of = lexicons[(origin(folded(text).translate(_AS_I).split()) % FOLDS)]
+                    of = lexicons[(origin(spelled(folded(text))) % FOLDS)]
                     words, _, weight = of.measure(text)
                     bins.append(int(density(words, weight) / width))
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), batch.column("label")], ["bin", "label"])
