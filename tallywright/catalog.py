@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["evaluation", "retrieval", "history", "store", "scalars", "more", "parsers", "matching", "channels", "states", "details", "vectors", "reranker", "identity", "summaries", "market", "tables"]
+MODULES = ["evaluation", "retrieval", "history", "store", "scalars", "more", "parsers", "matching", "channels", "states", "details", "vectors", "reranker", "identity", "summaries", "market", "tables", "streams"]
 
 
 def _modules():

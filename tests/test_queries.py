@@ -22,7 +22,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, bool) or not hasattr(value, "__float__"):
         return str(value).replace(" 00:00:00", "")
