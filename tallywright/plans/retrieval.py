@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import token_set
+from tallywright.functions.text import jaccard, token_set
 from tallywright.operators.diversity import mmr
 from tallywright.operators.temporal import decayed_stats, latest_prior, ranked_history
 from tallywright.plans.base import COLUMNS, EVAL_FROM, Registry, catalog, pool, read
+from tallywright.sources.shared import materialized
 
 R = Registry()
 
@@ -126,7 +127,8 @@ def chg_embedding_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("k", F.row_number().over(best)).where("k <= 10 and sim >= 0.10").drop("k")
 
 
-def _mmr_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mmr_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every query as ``mmr`` reads them."""
     order = Window.partitionBy("q").orderBy(F.desc("score"), "pool_rank")
     return pool(spark, sf_dir).select(
         "q", "c", F.row_number().over(order).alias("r"), "score", F.col("c_model").alias("identity"), F.col("c_po").alias("po"), token_set(F.col("c_text")).alias("tokens")
@@ -136,15 +138,26 @@ def _mmr_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("div3_mmr")
 def div3_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten diverse candidates of each query by maximal marginal relevance."""
-    return mmr(_mmr_input(spark, sf_dir))
+    return mmr(mmr_input(spark, sf_dir))
+
+
+def pair_similarity() -> Column:
+    """The largest similarity of two rows of a group (ten at most): half for one identity, 0.3 for one order, 0.2 for the Jaccard of their words; null below two rows."""
+
+    def alike(a: Column, b: Column) -> Column:
+        return 0.5 * (a["identity"] == b["identity"]).cast("int") + 0.3 * (a["po"] == b["po"]).cast("int") + 0.2 * jaccard(a["tokens"], b["tokens"])
+
+    rows = F.array_sort(F.collect_list(F.struct("r", "identity", "po", "tokens")))
+    return F.array_max(F.flatten(F.transform(rows, lambda a: F.transform(F.filter(rows, lambda b: b["r"] > a["r"]), lambda b: alike(a, b)))))
 
 
 @R.query("div4_selective_mmr")
 def div4_selective_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MMR where the pool has more than ten candidates whose first ten are not all alike; else the first ten."""
-    rows = _mmr_input(spark, sf_dir)
-    stats = rows.groupBy("q").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("r") <= 10, F.col("identity"))).alias("kinds"))
-    diverse = stats.where("n > 10 and kinds > 1").select("q")
+    """MMR where the pool has more than ten candidates of which no two of the first ten are alike beyond 0.98; else the first ten."""
+    rows = materialized(mmr_input(spark, sf_dir), "mmr")
+    first = rows.where("r <= 10").groupBy("q").agg(pair_similarity().alias("sim"))
+    more = rows.groupBy("q").agg(F.count("*").alias("n"))
+    diverse = more.join(first, "q").where("n > 10 and sim <= 0.98").select("q")
     plain = rows.join(diverse, "q", "left_anti").where("r <= 10").select("q", "c", F.col("r").alias("place"))
     return mmr(rows.join(diverse, "q", "left_semi")).unionByName(plain)
 
@@ -156,18 +169,6 @@ def ml6_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.agg(F.lit(5).alias("folds"), F.count("*").alias("families"))
 
 
-@R.query("agg25_bootstrap")
-def agg25_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Poisson bootstrap of the hit rate: 200 replicates by hash-seeded weights, 95 % interval."""
-    from tallywright.plans.base import top10
-
-    hits = top10(spark, sf_dir).where("rank = 1").select("q", (F.abs(F.col("c_price") - F.col("q_price")) <= 0.1 * F.col("q_price")).cast("int").alias("hit"))
-    u = F.pmod(F.xxhash64("q", "b"), F.lit(1 << 30)) / float(1 << 30)
-    weight = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
-    rates = hits.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(200)))).groupBy("b").agg((F.sum(weight * F.col("hit")) / F.sum(weight)).alias("rate"))
-    return rates.agg(q4(F.avg("rate")).alias("mean"), q4(F.percentile("rate", 0.025)).alias("low"), q4(F.percentile("rate", 0.975)).alias("high"))
-
-
 @R.query("agg11_huber")
 def agg11_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Huber slope of log price on log quantity by family: reweighted least squares from sums, eight rounds."""
