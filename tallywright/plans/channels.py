@@ -216,11 +216,15 @@ def _text_cte(kind: str) -> str:
 vector_{kind} AS MATERIALIZED (SELECT part, term, w / sqrt(sum(w * w) OVER (PARTITION BY part)) AS w FROM (SELECT part, term, tf * (ln((1.0 + (SELECT count(*) FROM part)) / (1 + count(*) OVER (PARTITION BY term))) + 1) AS w FROM (SELECT part, term, count(*) AS tf FROM term_{kind} GROUP BY ALL)))"""
 
 
-def _text_sql(kind: str, store: str, unit_share: float = 0.0) -> str:
+def _text_sql(kind: str, store: str, unit_share: float = 0.0, prune: bool = False) -> str:
+    """The channel over all pairs of parts. prune: leave out parts below others that have 30 rows before the evaluation period."""
+    old = f"(SELECT part, count(*) AS n_old FROM line WHERE d < DATE '{EVAL_FROM}' GROUP BY part)"
+    only = f"SELECT a, b, cos, score FROM (SELECT a, b, cos, score, sum(coalesce(n_old, 0)) OVER (PARTITION BY a ORDER BY score DESC) - sum(coalesce(n_old, 0)) OVER (PARTITION BY a, score) AS above FROM ({{0}}) LEFT JOIN {old} ON part = b) WHERE above < {TOP}"
     column = "p_brand" if store == "code" else "p_type"
     score = f"floor(({1 - unit_share} * cos + {unit_share} * (x.p_size % 4 = y.p_size % 4)::INT) * 1e6 + 0.5) / 1e6"
+    pairs = f"""SELECT a, b, cos, {score} AS score FROM (SELECT v.part AS a, w.part AS b, floor(sum(v.w * w.w) * 1e6 + 0.5) / 1e6 AS cos FROM vector_{kind} v JOIN part s ON s.p_partkey = v.part JOIN vector_{kind} w ON w.term = v.term JOIN part t ON t.p_partkey = w.part AND s.{column} = t.{column} GROUP BY ALL) JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b"""
     return f"""SELECT q, c, d, k, cos FROM (SELECT q.row_key AS q, c.row_key AS c, c.d, cos, row_number() OVER (PARTITION BY q.row_key ORDER BY score DESC, c.d DESC, c.row_key DESC) AS k
- FROM line q JOIN (SELECT a, b, cos, {score} AS score FROM (SELECT v.part AS a, w.part AS b, floor(sum(v.w * w.w) * 1e6 + 0.5) / 1e6 AS cos FROM vector_{kind} v JOIN part s ON s.p_partkey = v.part JOIN vector_{kind} w ON w.term = v.term JOIN part t ON t.p_partkey = w.part AND s.{column} = t.{column} GROUP BY ALL) JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b) p ON p.a = q.part
+ FROM line q JOIN ({only.format(pairs) if prune else pairs}) p ON p.a = q.part
  JOIN line c ON c.part = p.b AND c.d < q.d WHERE q.asked QUALIFY k <= {TOP}) WHERE cos >= {LEAST_SIMILARITY}"""
 
 
@@ -254,7 +258,7 @@ def channel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = {**{c: _key_sql(keys, least, wider) for c, (_, keys, least, wider) in KEYED.items()}, "D": SPEC_SQL, "J": QUANTITY_SQL, **{c: _text_sql(*rest) for c, (_, *rest) in TEXTS.items()}}
+_ALL = {**{c: _key_sql(keys, least, wider) for c, (_, keys, least, wider) in KEYED.items()}, "D": SPEC_SQL, "J": QUANTITY_SQL, **{c: _text_sql(*rest, prune=True) for c, (_, *rest) in TEXTS.items()}}
 UNION_SQL = f"""WITH {LINES}, {SPEC_CTE}, {_text_cte('word')}, {_text_cte('char')}, found AS ({' UNION ALL '.join(f"SELECT q, c, d, k, '{c}' AS channel, {PRIORITY[c]} AS priority FROM ({sql})" for c, sql in sorted(_ALL.items()))}),
 united AS (SELECT q, c, any_value(d) AS d, string_agg(channel, '' ORDER BY channel) AS channels, count(*) AS channel_count, min(priority) AS priority, arg_min(k, channel) AS first_k FROM found GROUP BY q, c)"""
 
