@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.text import jaccard, token_set
 from tallywright.operators.diversity import mmr
+from tallywright.operators.robust import huber_fits
 from tallywright.operators.temporal import decayed_stats, latest_prior, ranked_history
-from tallywright.plans.base import COLUMNS, EVAL_FROM, Registry, catalog, pool, read
+from tallywright.plans.base import CALIBRATE_FROM, COLUMNS, EVAL_FROM, Registry, catalog, pool, read
 from tallywright.sources.shared import materialized
 
 R = Registry()
@@ -169,20 +170,32 @@ def ml6_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.agg(F.lit(5).alias("folds"), F.count("*").alias("families"))
 
 
+# Bounds of the slopes, least rows of a family, and the slope where nothing can be fitted.
+FAMILY_SLOPES, GLOBAL_SLOPES, FAMILY_ROWS, GLOBAL_ROWS, NO_SLOPE = (-0.40, 0.05), (-0.35, 0.02), 30, 101, -0.05
+
+
+def price_slopes(rows: DataFrame, rounds: int = 12) -> DataFrame:
+    """family, n, beta: the Huber slope of log price on log quantity, within bounds; that of all rows for families of fewer than 30.
+
+    rows: family, qty, price. Quantities and prices below a thousandth count as one.
+    """
+    points = rows.select("family", F.log(F.greatest("qty", F.lit(1e-3))).alias("x"), F.log(F.greatest("price", F.lit(1e-3))).alias("y")).where("family is not null")
+    both = points.withColumn("group", F.explode(F.array(F.concat(F.lit("f"), "family"), F.lit("all"))))
+    fits = materialized(huber_fits(both, "group", rounds=rounds), "slopes")
+
+    def within(bounds: tuple[float, float]) -> Column:
+        return F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), F.col("slope")))
+
+    whole = fits.where("group = 'all'").select(F.when(F.col("n") >= GLOBAL_ROWS, within(GLOBAL_SLOPES)).otherwise(NO_SLOPE).alias("all_slope"))  # one row
+    own = fits.where("group <> 'all'").select(F.substring("group", 2, 1 << 20).alias("family"), "n", within(FAMILY_SLOPES).alias("own"))
+    return own.crossJoin(F.broadcast(whole)).select("family", "n", F.when(F.col("n") >= FAMILY_ROWS, F.col("own")).otherwise(F.col("all_slope")).alias("beta"))
+
+
 @R.query("agg11_huber")
 def agg11_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Huber slope of log price on log quantity by family: reweighted least squares from sums, eight rounds."""
-    rows = catalog(spark, sf_dir).where("qty > 0").select("family", F.col("lp").alias("y"), F.log("qty").alias("x"))
-    fit = rows.groupBy("family").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.stddev_pop("y").alias("s"))
-    for _ in range(8):
-        off = F.abs(F.col("y") - F.col("a") - F.col("b") * F.col("x")) / F.greatest(F.col("s"), F.lit(1e-9))
-        w = F.when(off <= 1.35, F.lit(1.0)).otherwise(1.35 / off)
-        sums = rows.join(F.broadcast(fit), "family").withColumn("w", w).groupBy("family").agg(  # a row for each family
-            F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(F.col("w") * F.col("x") ** 2).alias("sxx"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("sxy"), F.first("s").alias("s")
-        )
-        slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") ** 2)
-        fit = sums.withColumn("b", slope).withColumn("a", (F.col("sy") - F.col("b") * F.col("sx")) / F.col("n")).select("family", "a", "b", "s")
-    return fit.select("family", q4(F.greatest(F.lit(-0.6), F.least(F.lit(0.1), F.col("b")))).alias("beta"))
+    """Slopes of every family from the rows before the calibration period."""
+    rows = catalog(spark, sf_dir).where(F.col("d") < F.lit(CALIBRATE_FROM).cast("date"))
+    return price_slopes(rows).select("family", "n", q4(F.col("beta")).alias("beta"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles
