@@ -2,7 +2,6 @@
 
 import math
 import random
-import re
 import zlib
 from collections import Counter
 
