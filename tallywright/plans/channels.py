@@ -21,7 +21,8 @@ LEAST_SIMILARITY = 0.10
 NGRAMS = (3, 5)
 
 LINES = f"""line AS MATERIALIZED (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS row_key, CAST(l_shipdate AS DATE) AS d, CAST(l_shipdate AS DATE) >= DATE '{EVAL_FROM}' AS asked, l_quantity AS qty,
- p_brand AS code, p_type AS family, p_size % 4 AS uom, p_name AS model, split_part(p_name, ' ', 1) AS fam_model, 'B' || p_partkey % 7 AS brand, CASE WHEN p_partkey % 10 <> 0 THEN 'M' || p_partkey // 2 END AS mpn, p_partkey AS part
+ p_brand AS code, p_type AS family, p_size % 4 AS uom, p_name AS model, split_part(p_name, ' ', 1) AS fam_model, 'B' || p_partkey % 7 AS brand, CASE WHEN p_partkey % 10 <> 0 THEN 'M' || p_partkey // 2 END AS mpn, p_partkey AS part,
+ l_orderkey AS po, l_extendedprice / l_quantity AS price, concat_ws(' ', p_name, p_type, 'size', p_size) AS text
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 #: The k-th specification of a part, where it has one.
 SPEC_HAS, SPEC_VALUE = "(p_partkey + {k}) % 4 = 0", "(p_size * ({k} + 1)) % 17 + 0.5"
@@ -46,6 +47,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 10 != 0, F.concat(F.lit("M"), F.floor(key / 2).cast("string"))).alias("mpn"),
         key.alias("part"),
         specs.alias("specs"),
+        F.col("l_orderkey").alias("po"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.concat_ws(" ", "p_name", "p_type", F.lit("size"), "p_size").alias("text"),
     )
 
 
@@ -245,7 +249,7 @@ for _name, _kind, _store, _share in TEXTS.values():
 
 def channel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q, c, d, channels, channel_count, priority, first_k): every pair once, with the channels that found it."""
-    rows = materialized(lines(spark, sf_dir))
+    rows = materialized(lines(spark, sf_dir).drop("po", "price", "text"))
     found = {c: keyed(rows, keys, least, wider) for c, (_, keys, least, wider) in KEYED.items()}
     found |= {"D": by_specs(rows), "J": by_quantity(rows)}
     found |= {c: _text_channel(spark, sf_dir, *rest, rows).drop("cos") for c, (_, *rest) in TEXTS.items()}

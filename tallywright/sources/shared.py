@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,34 @@ def materialized(df: DataFrame, label: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and time of every file below a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.sc().hadoopConfiguration()).listFiles(place, True)
+    out = []
+    while found.hasNext():
+        status = found.next()
+        out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(out)
+
+
+def shared(spark: SparkSession, label: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, written once in an application for the same input files and read by every query that names them.
+
+    inputs: paths of all tables that make() reads. A file that is added, replaced or
+    removed, and a written table that is gone, lead to a new one.
+    """
+    key = (spark.sparkContext.applicationId, label, tuple(f for path in inputs for f in _files(spark, path)))
+    if key in _WRITTEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{_WRITTEN[key]}/_SUCCESS")
+        if place.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(place):
+            return spark.read.parquet(_WRITTEN[key])
+    path = fresh_path(spark, label)
+    make().write.parquet(path)
+    _WRITTEN[key] = path
+    return spark.read.parquet(path)
