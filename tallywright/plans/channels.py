@@ -189,23 +189,28 @@ def similar_parts(spark: SparkSession, sf_dir: str, kind: str, store: str, unit_
     return pairs.withColumn("cos", cos).select("a", "b", "cos", score.alias("score"))
 
 
-def similar_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(q, c, d, k, cos): the 30 prior rows of the most similar parts, the newest first among equals.
+def best_rows(rows: DataFrame, pairs: DataFrame, top: int) -> DataFrame:
+    """(q, c, d, k, cos, score): the ``top`` prior rows of the most similar parts, the newest first among equals.
 
     pairs: a, b, cos, score. Rows before the evaluation period are prior to every
-    query, so a part needs only those others before which they do not yet reach 30
-    rows. Each of these few meets the query by its place in the part's history.
+    query, so a part needs only those others before which they do not yet reach that
+    many rows. Each of these few meets the query by its place in the part's history.
     """
     slim = rows.select("row_key", "d", "part")
     old = slim.where(F.col("d") < F.lit(EVAL_FROM).cast("date")).groupBy(F.col("part").alias("b")).agg(F.count("*").alias("n_old"))
     by_score = Window.partitionBy("a").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     tied = Window.partitionBy("a", "score")
     counted = pairs.join(old, "b", "left").withColumn("n_old", F.coalesce("n_old", F.lit(0)))
-    needed = counted.withColumn("above", F.sum("n_old").over(by_score) - F.sum("n_old").over(tied)).where(F.col("above") < TOP).select("a", F.col("b").alias("part"), "cos", "score")
+    needed = counted.withColumn("above", F.sum("n_old").over(by_score) - F.sum("n_old").over(tied)).where(F.col("above") < top).select("a", F.col("b").alias("part"), "cos", "score")
     asks = slim.where(asked()).select(F.col("row_key").alias("q"), "d", F.col("part").alias("a")).join(needed, "a").drop("a")
-    found = newest_of_lists(slim, asks, ["part"], TOP).withColumnRenamed("c_d", "d")
+    found = newest_of_lists(slim, asks, ["part"], top).withColumnRenamed("c_d", "d")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("d"), F.desc("c")))
-    return found.withColumn("k", place).where((F.col("k") <= TOP) & (F.col("cos") >= LEAST_SIMILARITY)).select("q", "c", "d", "k", "cos")
+    return found.withColumn("k", place).where(F.col("k") <= top).select("q", "c", "d", "k", "cos", "score")
+
+
+def similar_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(q, c, d, k, cos): those of the first 30 rows that are similar enough."""
+    return best_rows(rows, pairs, TOP).where(F.col("cos") >= LEAST_SIMILARITY).drop("score")
 
 
 def _text_channel(spark: SparkSession, sf_dir: str, kind: str, store: str, unit_share: float = 0.0, rows: DataFrame | None = None) -> DataFrame:
