@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["evaluation", "retrieval", "history", "store", "scalars", "more", "parsers", "matching", "channels", "pools", "similarity", "states", "details", "vectors", "reranker", "identity", "summaries", "market", "tables", "streams", "resampling"]
+MODULES = ["evaluation", "retrieval", "history", "store", "scalars", "more", "parsers", "matching", "channels", "pools", "aspects", "similarity", "states", "details", "vectors", "reranker", "identity", "summaries", "market", "tables", "streams", "resampling"]
 
 
 def _modules():
