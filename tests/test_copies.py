@@ -3,8 +3,10 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, rows_of
 
+from tallywright.operators import temporal
 from tallywright.plans import channels, similarity
 
 TIMES = 3
@@ -41,3 +43,21 @@ def test_copies_keep_their_rows(spark, copied, name):
     module = similarity if name.startswith("sim") else channels
     got = module.QUERIES[name](spark, folder).toPandas()
     assert rows_of(got) == rows_of(duck.execute(module.ORACLES[name]).df())
+
+
+def test_newest_rows_lie_in_two_blocks(spark):
+    frame = spark.range(1, 200).withColumnRenamed("id", "prior")
+    for n in (1, 3, 30):
+        for prior, blocks in frame.select("prior", temporal._blocks(n)).collect():
+            assert len(blocks) <= 2
+            assert {p // n for p in range(max(prior - n + 1, 1), prior + 1)} == set(blocks)
+
+
+def test_every_newest_row_is_found_once(spark):
+    rows = spark.range(100).select(F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("row_key"), F.lit("k").alias("k"), F.expr("date_add(date'2000-01-01', cast(id div 7 as int))").alias("d"))
+    got = temporal.latest_prior(rows, F.lit(True), ["k"], 10, ["row_key", "d"])
+    found = got.groupBy("q_row_key").agg(F.array_sort(F.collect_list("pool_rank")).alias("ranks"), F.array_sort(F.collect_list("c_row_key")).alias("c")).collect()
+    assert len(found) == 93
+    for r in found:
+        prior = int(r.q_row_key[1:]) // 7 * 7
+        assert r.ranks == list(range(1, min(10, prior) + 1)) and r.c == [f"r{i:03}" for i in range(max(0, prior - 10), prior)]
