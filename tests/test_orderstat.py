@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tallywright.operators import orderstat
+from tallywright.operators import orderstat, temporal
 
 
 def made(spark, rng, sizes, kinds):
@@ -43,3 +43,18 @@ def test_empty(spark):
     rows = spark.createDataFrame([], "key string, nth long, value double")
     asks = spark.createDataFrame([("a", 0, 2, 1)], "key string, lo long, hi long, r int")
     assert orderstat.order_statistics(rows, asks).collect() == []
+
+
+def test_no_table_is_sent_to_the_driver(spark):
+    """Tables that grow with the rows are small as files; their joins must not be broadcasts for that."""
+    rows = spark.createDataFrame([("k", i, float(i % 7)) for i in range(1, 60)], "key string, nth long, value double")
+    frames = spark.createDataFrame([("k", 0, 59), ("k", 10, 30)], "key string, lo long, hi long")
+    plan = orderstat.quantiles(rows, frames, {"med": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_months_of_many_keys_are_not_sent_to_the_driver(spark):
+    rows = spark.range(200).selectExpr("cast(id as string) as row_key", "id % 50 as k", "date_add(date'2000-01-01', cast(id as int)) as d")
+    for frame in (temporal.ranked_history(rows, ["k"]), temporal.counts_before(rows, rows.select("k", "d"), ["k"])):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
