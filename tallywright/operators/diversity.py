@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,19 +30,30 @@ def _greedy(rows: list[dict], k: int, balance: float) -> list[dict]:
     return [{"c": rows[i]["c"], "place": place} for place, i in enumerate(taken, 1)]
 
 
-def mmr(pool: DataFrame, k: int = 10, balance: float = 0.6) -> DataFrame:
+def picked(rows: Column, k: int = 10, balance: float = 0.6) -> Column:
+    """What ``mmr`` takes of one query's rows (array of c, r, score, identity, po, tokens): array of c and place."""
+
+    @F.pandas_udf("array<struct<c: string, place: int>>")
+    def pick(pools: pd.Series) -> pd.Series:
+        return pools.map(lambda rows: _greedy(list(rows), k, balance))
+
+    return pick(rows)
+
+
+def candidates() -> Column:
+    """The rows of a group as ``picked`` reads them."""
+    return F.collect_list(F.struct("c", "r", "score", "identity", "po", "tokens"))
+
+
+def mmr(pool: DataFrame, k: int = 10, balance: float = 0.6, by: tuple[str, ...] = ("q",)) -> DataFrame:
     """Maximal marginal relevance within each query's pool (at most 30 rows by construction).
 
     pool: q, c, r (rank by score), score, identity, po, tokens (array). The first
     is rank 1; each next maximises balance * minmax(score) less (1 - balance) * the
     largest similarity to those taken; the earlier rank wins ties. Similarity is
     0.5 same identity + 0.3 same order + 0.2 Jaccard of tokens.
+    by: columns that name a query, q among them, where rows lie together by more than q.
     Returns q, c, place.
     """
-
-    @F.pandas_udf("array<struct<c: string, place: int>>")
-    def pick(pools: pd.Series) -> pd.Series:
-        return pools.map(lambda rows: _greedy(list(rows), k, balance))
-
-    gathered = pool.groupBy("q").agg(F.collect_list(F.struct("c", "r", "score", "identity", "po", "tokens")).alias("rows"))
-    return gathered.select("q", F.inline(pick("rows")))
+    gathered = pool.groupBy(*by).agg(candidates().alias("rows"))
+    return gathered.select("q", F.inline(picked(F.col("rows"), k, balance)))

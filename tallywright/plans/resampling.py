@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.diversity import mmr
+from tallywright.operators.diversity import candidates, picked
 from tallywright.operators.ranksum import exact_quantiles
-from tallywright.plans.base import Registry, pool, top10
+from tallywright.plans.base import TOGETHER, Registry, top10
 from tallywright.plans.retrieval import mmr_input, pair_similarity, q4
 from tallywright.sources.shared import materialized
 
@@ -104,15 +104,16 @@ def tune_gate(signals: DataFrame) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What ``tune_gate`` reads, of every query."""
-    rows = materialized(pool(spark, sf_dir).select("q", "c", _hit().alias("hit")), "hits")
-    ranked = materialized(mmr_input(spark, sf_dir), "ranked")
-    first = ranked.where("r <= 10")
-    alike = first.groupBy("q").agg(pair_similarity().alias("sim"), F.count_distinct("po").alias("orders"))
-    base = first.join(rows, ["q", "c"]).groupBy("q").agg(F.max("hit").alias("base"))
-    diverse = mmr(ranked).join(rows, ["q", "c"]).groupBy("q").agg(F.max("hit").alias("diverse"))
+    """What ``tune_gate`` reads, of every query; its candidates lie in one task and are gathered once."""
+    first = F.col("r") <= 10
+    one = mmr_input(spark, sf_dir, _hit().alias("hit")).groupBy(*TOGETHER).agg(
+        pair_similarity(10).alias("sim"), F.size(F.collect_set(F.when(first, F.col("po")))).cast("long").alias("orders"), F.max(F.when(first, F.col("hit"))).alias("base"),
+        candidates().alias("rows"), F.collect_list(F.struct("c", "hit")).alias("hits"),
+    )
+    one = one.select("q", "sim", "orders", "base", "hits", F.transform(picked(F.col("rows")), lambda p: p["c"]).alias("taken"))
+    diverse = F.array_max(F.transform(F.filter("hits", lambda h: F.array_contains("taken", h["c"])), lambda h: h["hit"]))
     fold = (F.pmod(F.xxhash64("q", F.lit(SEED)), F.lit(2)) + 1).cast("int")
-    return alike.join(base, "q").join(diverse, "q").select("q", fold.alias("fold"), F.coalesce("sim", F.lit(0.0)).alias("sim"), "orders", "base", "diverse")
+    return one.select("q", fold.alias("fold"), F.coalesce("sim", F.lit(0.0)).alias("sim"), "orders", "base", diverse.alias("diverse"))
 
 
 @R.query("div5_tuned_gate")
