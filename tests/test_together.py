@@ -8,6 +8,8 @@ from test_queries import SF
 
 from tallywright import catalog
 from tallywright.operators import temporal
+from tallywright.plans import channels
+from tallywright.plans.base import EVAL_FROM
 
 QUERIES = catalog.queries()
 ONCE = "div3_mmr fil13_state_pruning rrk3_hybrid_rerank rrk4_multi_aspect win8_price_support rel1_reliability agg12_pool_distribution cfi1_interval mth10_graded_gain str5_token_jaccard rrk7_reranker_features".split()
@@ -32,3 +34,20 @@ def test_rows_out_of_reach_are_left_out(spark):
     assert kept.where(~asks).count() == 20 and kept.where(asks).count() == rows.where(asks).count()
     whole, cut = (temporal.latest_prior(rows, asks, ["k"], 10, ["row_key", "d"], since=s).select("q_row_key", "c_row_key", "pool_rank").collect() for s in (None, since))
     assert sorted(whole) == sorted(cut) and cut
+
+
+@pytest.mark.parametrize("name", ["chi_commodity_uom", "chj_quantity_band"])
+def test_channels_cut_their_history(spark, monkeypatch, name):
+    cut = []
+    whole = temporal.reachable
+
+    def watched(*args, **named):
+        cut.append(whole(*args, **named))
+        return cut[-1]
+
+    monkeypatch.setattr(channels, "reachable", watched)
+    monkeypatch.setattr(temporal, "reachable", watched)
+    QUERIES[name](spark, SF)
+    old = F.col("d") < F.lit(EVAL_FROM).cast("date")
+    lists = [c for c in ("code", "family", "uom", "key", "level", "spot") if c in cut[0].columns]
+    assert cut[0].where(old).groupBy(*[F.col(c) for c in lists]).count().agg(F.max("count")).first()[0] <= channels.TOP
