@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_queries import SF
 
 from tallywright import catalog
-from tallywright.operators import temporal
+from tallywright.operators import temporal, topk
 from tallywright.plans import channels
 from tallywright.plans.base import EVAL_FROM
 
@@ -51,3 +51,11 @@ def test_channels_cut_their_history(spark, monkeypatch, name):
     old = F.col("d") < F.lit(EVAL_FROM).cast("date")
     lists = [c for c in ("code", "family", "uom", "key", "level", "spot") if c in cut[0].columns]
     assert cut[0].where(old).groupBy(*[F.col(c) for c in lists]).count().agg(F.max("count")).first()[0] <= channels.TOP
+
+
+def test_dots_of_small_pairs_are_dealt(spark):
+    vectors = spark.createDataFrame([(i, [(i % 3, 1.0)]) for i in range(12)], "id long, terms array<struct<t: long, w: double>>")
+    pairs = vectors.select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).coalesce(1)
+    got = topk._with_dots(pairs, vectors)
+    assert got.where("dot = 1").count() == 4 and got.count() == 12
+    assert got.rdd.getNumPartitions() >= 4
