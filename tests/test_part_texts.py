@@ -1,12 +1,14 @@
 """Queries on the parts' texts over tables whose parts repeat, share keys or lack columns."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, rows_of
 
-from tallywright.plans import more
+from tallywright.plans import details, more
 
 
 @pytest.fixture(scope="module")
@@ -34,3 +36,12 @@ def test_market_pairs_meet_once(spark):
     assert {(r.text, r.b_name): (r.n, r.score) for r in got} == {
         ("a b c a", "a b"): (1, 0.5), ("a b c a", "b a c"): (1, 0.75), ("a b x", "a b"): (1, 0.6667), ("a b x", "b a c"): (1, 0.6667), ("a  b", "a b"): (1, 0.6667), ("a  b", "b a c"): (1, 0.6667),
     }
+
+
+def test_hash_embedding_of_repeated_parts(spark, parts):
+    """As in SQL, where a part without name too has 384 numbers, all missing; and the digest is made once for each part, not once for each number."""
+    folder, duck = parts
+    got = details.QUERIES["mth5_hash_embedding"](spark, folder)
+    assert rows_of(got.toPandas()) == rows_of(duck.execute(details.ORACLES["mth5_hash_embedding"]).df())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "sha2" not in "".join(re.findall(r"lambdafunction\(.*?sha2", plan))
