@@ -135,32 +135,38 @@ def project(rows: DataFrame, factors: Factors) -> DataFrame:
                 y = y / np.where(size > 1e-12, size, 1.0)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(y)), pa.array(list(y), pa.list_(pa.float64()))], ["id", "vector"])
 
-    return rows.select("id", "cols", "weights").mapInArrow(run, "id long, vector array<double>")
+    return rows.select("id", "cols", "weights").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, vector array<double>")
 
 
-def tfidf(terms: DataFrame, rows: int, least: int, most: int) -> DataFrame:
-    """id, term, col, weight: sublinear TF-IDF of unit length over the terms of at least ``least`` rows, the ``most`` most used of them.
+def tfidf(texts: DataFrame, rows: int, least: int, most: int) -> DataFrame:
+    """id, copies, e: sublinear TF-IDF of unit length, an array of (term, col, weight), over the terms of at least ``least`` rows, the ``most`` most used of them.
 
-    terms: id and term, one row for each use. col numbers the terms kept, a table
-    that ``most`` bounds.
+    texts: id, copies (rows that have this text) and term, one row for each use, those
+    of an id in one task. col numbers the terms kept, a table that ``most`` bounds; it
+    goes to the uses, so that a common term's uses do not meet in one task. An id
+    without any such term has no row.
     """
     from pyspark.sql import Window
 
-    uses = terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    seen = uses.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where(F.col("df") >= least).orderBy(F.desc("n"), "term").limit(most)
-    kept = seen.withColumn("col", F.row_number().over(Window.orderBy("term")) - 1)  # at most ``most`` rows
+    uses = texts.groupBy("id", "copies", "term").agg(F.count("*").alias("tf"))
+    seen = uses.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("n")).where(F.col("df") >= least).orderBy(F.desc("n"), "term").limit(most)
+    kept = seen.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).alias("col"))  # at most ``most`` rows
     x = (1 + F.log("tf")) * (F.log(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1)
-    weighted = uses.join(kept, "term").select("id", "term", "col", x.alias("x"))
-    size = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    return weighted.join(size, "id").select("id", "term", "col", (F.col("x") / F.col("size")).alias("weight"))
+    weighted = uses.join(F.broadcast(kept), "term").select("id", "copies", "term", "col", x.alias("x"))
+    whole = weighted.groupBy("id", "copies").agg(F.array_sort(F.collect_list(F.struct("col", "term", "x"))).alias("e"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    return whole.select("id", "copies", F.transform("e", lambda t: F.struct(t["term"].alias("term"), t["col"].alias("col"), (t["x"] / F.col("size")).alias("weight"))).alias("e"))
 
 
 def embed(weights: DataFrame, rank: int = 64) -> tuple[DataFrame, Factors, DataFrame]:
-    """Unit vectors (id, vector) of the rows of weights (id, col, weight) in the first ``rank`` right vectors; the factors and the rows behind them."""
-    rows = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("col", "weight"))).alias("e"))
-    rows = materialized(rows.select("id", F.col("e.col").cast("array<int>").alias("cols"), F.col("e.weight").alias("weights")), "sparse")
+    """Unit vectors (id, vector) of the rows of weights (id, copies, e with col and weight) in the first ``rank`` right vectors; the factors and the rows behind them.
+
+    A row with copies weighs in the factors as all of them, by the root of their number
+    as a factor of its own weights; its vector is made once.
+    """
+    rows = materialized(weights.select("id", "copies", F.col("e.col").cast("array<int>").alias("cols"), F.col("e.weight").alias("weights")), "sparse")
     features = (rows.agg(F.max(F.array_max("cols"))).first()[0] or 0) + 1
-    factors = truncated_svd(rows, features, rank)
+    heavy = rows.select("cols", F.transform("weights", lambda w: w * F.sqrt("copies")).alias("weights"))
+    factors = truncated_svd(heavy, features, rank)
     return project(rows, factors), factors, rows
 
 

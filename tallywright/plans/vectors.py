@@ -19,41 +19,62 @@ TEXT = "lower(concat_ws(' ', p_name, p_type, 'size', p_size))"
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(TEXT).alias("text"))
+    """id, texts: every key of a part with its texts in order, dealt by key, as the parts' small file is one task."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(TEXT).alias("text"))
+    return rows.repartition("id").groupBy("id").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+
+
+def _classes(texts: DataFrame) -> DataFrame:
+    """id, copies: the texts of a part's key (one, where keys do not repeat) as an array, and the number of keys that have them; an id's row lies in one task by it."""
+    return texts.groupBy("texts").agg(F.count("*").alias("copies")).withColumnRenamed("texts", "id")
 
 
 def word_terms(texts: DataFrame) -> DataFrame:
-    """id, term: words of two characters or more and pairs of neighbours, one row for each use."""
-    words = texts.select("id", F.regexp_extract_all("text", F.lit(r"(\w\w+)"), F.lit(1)).alias("w"))
+    """id, copies, term: words of two characters or more and pairs of neighbours, one row for each use."""
+    words = texts.select("id", "copies", F.regexp_extract_all("text", F.lit(r"(\w\w+)"), F.lit(1)).alias("w"))
     pairs = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)))
-    return words.select("id", F.explode(F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))).alias("term"))
+    return words.select("id", "copies", F.explode(F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))).alias("term"))
 
 
 def char_terms(texts: DataFrame) -> DataFrame:
-    """id, term: runs of 3, 4 and 5 characters of words with a space on either side; where a word is no longer than a run it stands whole, and longer runs are left out."""
-    words = texts.select("id", F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("w")).select("id", F.concat(F.lit(" "), F.col("w"), F.lit(" ")).alias("w"))
+    """id, copies, term: runs of 3, 4 and 5 characters of words with a space on either side; where a word is no longer than a run it stands whole, and longer runs are left out."""
+    words = texts.select("id", "copies", F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("w")).select("id", "copies", F.concat(F.lit(" "), F.col("w"), F.lit(" ")).alias("w"))
     size = F.char_length("w")
     starts = [F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), _run(n)) for n in (3, 4, 5)]
     none = F.array().cast("array<string>")
-    return words.select("id", F.explode(F.concat(starts[0], F.when(size > 3, starts[1]).otherwise(none), F.when(size > 4, starts[2]).otherwise(none))).alias("term"))
+    return words.select("id", "copies", F.explode(F.concat(starts[0], F.when(size > 3, starts[1]).otherwise(none), F.when(size > 4, starts[2]).otherwise(none))).alias("term"))
 
 
 def _run(n: int):
     return lambda i: F.substr(F.col("w"), i, F.lit(n))
 
 
+def text_weights(spark: SparkSession, sf_dir: str, kind: str, texts: DataFrame) -> DataFrame:
+    """id (texts of a key), copies, e (array of term, col, weight): once for each text, whatever the number of parts that have it."""
+    single = _classes(texts).select("id", "copies", F.explode("id").alias("text"))
+    terms, least, most = (word_terms(single), WORD_LEAST, WORD_MOST) if kind == "word" else (char_terms(single), CHAR_LEAST, CHAR_MOST)
+    return svd.tfidf(terms, read(spark, sf_dir, "part").count(), least, most)
+
+
+def _of_parts(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of found (id: texts of a key) for each part's key; by name, as the size of the files says little about rows that repeat their texts."""
+    return texts.join(found.withColumnRenamed("id", "texts").hint("merge"), "texts").drop("texts")
+
+
 def part_weights(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """id, term, col, weight of the parts' texts."""
     texts = _texts(spark, sf_dir)
-    terms, least, most = (word_terms(texts), WORD_LEAST, WORD_MOST) if kind == "word" else (char_terms(texts), CHAR_LEAST, CHAR_MOST)
-    return svd.tfidf(terms, texts.count(), least, most)
+    return _of_parts(texts, text_weights(spark, sf_dir, kind, texts)).select("id", F.inline("e"))
 
 
 def part_vectors(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """id, vector: 64 dimensions of the parts' texts, by words, by characters, or composite."""
-    if kind == "composite":
-        return svd.composite(part_vectors(spark, sf_dir, "word"), part_vectors(spark, sf_dir, "char"))
-    return svd.embed(part_weights(spark, sf_dir, kind), RANK)[0]
+    texts = _texts(spark, sf_dir)
+
+    def vectors(of: str) -> DataFrame:
+        return svd.embed(text_weights(spark, sf_dir, of, texts), RANK)[0]
+
+    return _of_parts(texts, svd.composite(vectors("word"), vectors("char")) if kind == "composite" else vectors(kind))
 
 
 def _weights_sql(terms: str, least: int, most: int) -> str:

@@ -3,12 +3,13 @@
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, rows_of
 
-from tallywright.plans import details, more
+from tallywright.plans import details, more, vectors
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +46,29 @@ def test_hash_embedding_of_repeated_parts(spark, parts):
     assert rows_of(got.toPandas()) == rows_of(duck.execute(details.ORACLES["mth5_hash_embedding"]).df())
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 1 and "sha2" not in "".join(re.findall(r"lambdafunction\(.*?sha2", plan))
+
+
+@pytest.mark.parametrize("name", ["ml1_word_weights", "ml2_char_weights"])
+def test_weights_of_repeated_parts(spark, parts, name):
+    """A key's texts are one, copies count in the frequencies, as in SQL."""
+    folder, duck = parts
+    assert rows_of(vectors.QUERIES[name](spark, folder).toPandas()) == rows_of(duck.execute(vectors.ORACLES[name]).df())
+
+
+def test_copies_of_a_text_are_weighed_once(spark, parts):
+    """One row of weights for each text, and vectors whose cosines are those of all parts' weights."""
+    folder, _ = parts
+    texts = vectors._texts(spark, folder)
+    once = vectors.text_weights(spark, folder, "char", texts)
+    assert once.count() == texts.select("texts").distinct().count() < texts.count() / 2
+    assert once.agg(F.sum("copies")).first()[0] == texts.count()
+    found = {r.id: np.array(r.vector) for r in vectors.part_vectors(spark, folder, "char").collect()}
+    weights = vectors.part_weights(spark, folder, "char").toPandas()
+    ids = sorted(weights["id"].unique())
+    dense = np.zeros((len(ids), weights["col"].max() + 1))
+    dense[np.searchsorted(ids, weights["id"]), weights["col"]] = weights["weight"]
+    _, _, right = np.linalg.svd(dense, full_matrices=False)
+    plain = dense @ right[:64].T
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    low = np.array([found[i] for i in ids])
+    assert len(found) == len(ids) and np.abs(low @ low.T - plain @ plain.T).max() < 0.05
