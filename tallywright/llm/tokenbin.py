@@ -31,6 +31,8 @@ from tallywright.llm.tokens import encoder, slices
 
 MAGIC = b"DAC1"
 BLOCK = 512
+#: Bytes of text that are encoded together, about, or one text.
+SLICE_BYTES = 4_000_000
 #: Ids after which a segment is closed at the end of a document.
 SEGMENT_IDS = 1 << 18
 #: Bytes of text that a partition of the writer holds, about.
@@ -123,7 +125,7 @@ def _write_partition(tokenizer_path: str, end_id: int, chunk_bits: int):
         for batch in batches:
             doc_ids = iter(batch.column("doc_id").to_pylist())
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SLICE_BYTES):
                 for x in ids.encode(texts):
                     held.append((next(doc_ids), x + end))
                     size += len(x) // 4 + 1

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -354,6 +355,40 @@ def test_word_encoder_equals_library(name, keeps, monkeypatch):
     assert encoder.encode(odd) == encoder.encode(odd) == [np.asarray(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
 
 
+@pytest.mark.parametrize("name, keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_texts_are_cut_together_as_the_library_cuts_each(name, keeps):
+    rng = np.random.default_rng(6)
+    parts = ["a", "S", "s", "t", "re", "ve", "ll", "'", "''", " ", "  ", "\n", "\t", "\r", "1", "23", "!", "..", "é", "É", "Ⱥ", "ß", "'s", "'ll", "x_y", " the", "\x01", "日", "İ", "\0"]
+    texts = ["".join(rng.choice(parts[: 26 if i % 5 else None], rng.integers(0, 14))) for i in range(4000)]
+    encoder = tokens.WordEncoder(tokens.vocabulary(name), keeps)
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+    assert encoder.encode(texts[:1]) + encoder.encode([]) + encoder.encode(["", ""]) == want[:1] + [b"", b""]
+
+
+def test_each_distinct_word_of_many_texts_is_looked_up_once(monkeypatch):
+    encoder, met = tokens.WordEncoder(tokens.vocabulary("byte_bpe_50k.json"), True), []
+    look_up = tokens.WordEncoder._ids_of
+    monkeypatch.setattr(tokens.WordEncoder, "_ids_of", lambda self, words: met.extend(words) or look_up(self, words))
+    assert len(set(encoder.encode([LONG] * 20))) == 1
+    assert len(met) == len(set(met)) < 1200  # 977 numbered words, "word", "and", the gap
+
+
+def test_encoding_known_words_costs_less_than_cutting_by_a_regular_expression():
+    encoder, texts = tokens.WordEncoder(tokens.vocabulary("byte_bpe_50k.json"), True), [LONG] * 10
+    find = re.compile(r" ?[A-Za-z]+| ?[0-9]+|\s+").findall
+
+    def least(run):
+        spent = []
+        for _ in range(5):
+            begun = time.process_time()
+            run()
+            spent.append(time.process_time() - begun)
+        return min(spent)
+
+    assert least(lambda: encoder.encode(texts)) < least(lambda: [find(t) for t in texts])
+
+
 @pytest.mark.parametrize("bits", [8, 16])
 def test_segments_round_trip(bits):
     rng = np.random.default_rng(2)
