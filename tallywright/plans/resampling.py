@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.diversity import candidates, picked
+from tallywright.operators.diversity import candidates, with_picked
 from tallywright.operators.ranksum import exact_quantiles
 from tallywright.plans.base import TOGETHER, Registry, top10
 from tallywright.plans.retrieval import mmr_input, pair_similarity, q4
@@ -110,7 +110,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         pair_similarity(10).alias("sim"), F.size(F.collect_set(F.when(first, F.col("po")))).cast("long").alias("orders"), F.max(F.when(first, F.col("hit"))).alias("base"),
         candidates().alias("rows"), F.collect_list(F.struct("c", "hit")).alias("hits"),
     )
-    one = one.select("q", "sim", "orders", "base", "hits", F.transform(picked(F.col("rows")), lambda p: p["c"]).alias("taken"))
+    one = with_picked(one.select("q", "sim", "orders", "base", "hits", "rows")).withColumn("taken", F.col("rows.c"))
     diverse = F.array_max(F.transform(F.filter("hits", lambda h: F.array_contains("taken", h["c"])), lambda h: h["hit"]))
     fold = (F.pmod(F.xxhash64("q", F.lit(SEED)), F.lit(2)) + 1).cast("int")
     return one.select("q", fold.alias("fold"), F.coalesce("sim", F.lit(0.0)).alias("sim"), "orders", "base", diverse.alias("diverse"))
